@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..runtime import table
-from . import cuts, lookalike, packing, pairs, tokens
+from . import cuts, lookalike, packing, pairs, personal, tokens
 
 
 def _t(spark, d, *names):
@@ -58,6 +58,14 @@ def p7_fill_report(spark, d):
     return packing.fill_report(p7_containers(spark, d), table(spark, d, "pack_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_defect_report, p2_token_budget, p2_prompt_tokens, p2_document_tokens, p3_found, p3_consistent_values, p4_found, p4_truncation_share, p6_ids, p7_containers, p7_fill_report)}
+def p8_found(spark, d):
+    return personal.personal_mentions(table(spark, d, "documents"))
+
+
+def p8_redacted(spark, d):
+    return personal.redacted(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_defect_report, p2_token_budget, p2_prompt_tokens, p2_document_tokens, p3_found, p3_consistent_values, p4_found, p4_truncation_share, p6_ids, p7_containers, p7_fill_report, p8_found, p8_redacted)}
 
 ORACLE: dict[str, str] = {}
