@@ -1,9 +1,12 @@
-"""Core queries: name -> function of (spark, sf_dir)."""
+"""Core queries: name -> function of (spark, sf_dir), and the SQL that states the same."""
 
 from __future__ import annotations
 
 from ..operators import nested
 from ..runtime import table
+from . import scoring, selection, tables
+
+LISTS = ("s_origin", "s_evidence", "s_transition_support", "control_origin", "control_transition_support")
 
 
 def p5_found(spark, d):
@@ -18,5 +21,13 @@ def p5_schema_edges(spark, d):
     return nested.observed_edges(table(spark, d, "raw_probe_records"), "payload")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_probe_table, p5_schema_edges)}
-ORACLE: dict[str, str] = {}
+def p5_meta_references(spark, d):
+    return nested.meta_references(table(spark, d, "probes"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_probe_table, p5_schema_edges, p5_meta_references)} | selection.QUERIES | scoring.QUERIES | tables.QUERIES
+ORACLE: dict[str, str] = {
+    "p5_meta_references": " union all ".join(
+        f"select row_id as parent_id, method, probe_type, '{n}' as list_name, p::bigint as list_pos, (meta.{n})[p + 1] as turn_id from probes, unnest(range(0, len(meta.{n}))) u(p) where meta.{n} is not null" for n in LISTS
+    )
+} | selection.ORACLE | scoring.ORACLE | tables.ORACLE
