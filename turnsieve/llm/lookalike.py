@@ -3,7 +3,7 @@
 A text first loses what does not show, then wide, narrow, joined and radical forms are replaced by
 what they stand for and accents are composed. Each word is then a lattice: at every position stand
 the character itself and its look-alikes in other scripts. Viterbi finds the path with the best
-character bigram score among scripts that agree; the bigrams are those of the plain values.
+character bigram score among scripts that agree; the bigrams are those of the plain values. A word wholly in the script of the text around it stays.
 
 Signs that look different from what they stand for (raised digits, fractions, numero) stay.
 Defined results for hard input: nulls give no row; empty texts are plain; repeated rows are cases
@@ -123,7 +123,7 @@ class Bigrams:
 def best_word(word: str, model: Bigrams, around: str) -> str:
     """Viterbi over the word's look-alike lattice; `around` is the script of the text around it."""
     columns = [TWINS.get(ch, [ch]) for ch in word]
-    if all(len(c) == 1 for c in columns):
+    if all(len(c) == 1 for c in columns) or {script(ch) for ch in word} == {around}:
         return word
     paths = {c: (model.of(" ", c) + (CHANGE if c != word[0] else 0.0) + (0.5 if script(c) not in (around, "Common") else 0.0), c) for c in columns[0]}
     for i in range(1, len(word)):
