@@ -34,13 +34,17 @@ def poisson_weight(replicate: Column, cluster: Column) -> Column:
 
 
 def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int = 200) -> DataFrame:
-    """Mean and percentile interval of sum/count with clusters redrawn: by, mean, lower, upper."""
-    reps = sums.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    drawn = sums.crossJoin(F.broadcast(reps)).withColumn("w", poisson_weight(F.col("rep"), F.col(cluster))).where("w > 0")
-    per = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(total)) / F.sum(F.col("w") * F.col(count))).alias("stat"))
-    interval = per.groupBy(*by).agg(F.round(F.percentile("stat", F.lit(0.025)), 6).alias("lower"), F.round(F.percentile("stat", F.lit(0.975)), 6).alias("upper"))
-    means = sums.groupBy(*by).agg(F.round(F.sum(total) / F.sum(count), 6).alias("mean"), F.count("*").alias("n_clusters"))
-    return means.join(interval, by)
+    """Mean and percentile interval of sum/count with clusters redrawn: by, mean, n_clusters, lower,
+    upper. Replicate -1 takes every cluster once and gives the mean, so the sums are made once."""
+    reps = sums.sparkSession.range(-1, replicates).select(F.col("id").alias("rep"))
+    weight = F.when(F.col("rep") < 0, 1).otherwise(poisson_weight(F.col("rep"), F.col(cluster)))
+    drawn = sums.crossJoin(F.broadcast(reps)).withColumn("w", weight).where("w > 0")
+    per = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(total)) / F.sum(F.col("w") * F.col(count))).alias("stat"), F.count("*").alias("n"))
+    own, drew = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("stat"))
+    rounded = lambda c: F.round(c, 6) + F.lit(0.0)
+    return per.groupBy(*by).agg(
+        rounded(F.max(F.when(own, F.col("stat")))).alias("mean"), F.max(F.when(own, F.col("n"))).alias("n_clusters"), rounded(F.percentile(drew, F.lit(0.025))).alias("lower"), rounded(F.percentile(drew, F.lit(0.975))).alias("upper")
+    )
 
 
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:

@@ -320,7 +320,7 @@ _CJK = lambda x: f"list_distinct(regexp_extract_all(lower(coalesce({x},'')),'[\\
 _M = f"{VALUES}, m as (select dataset, method, round(avg(strict), 12) s, round(avg(loose), 12) l from v group by 1, 2)"
 _MID = "rank() over (partition by dataset order by {0} desc) + (count(*) over (partition by dataset, {0}) - 1) / 2.0::double"
 _W = "(" + " + ".join(f"(u >= {p}::double)::int" for p in stats.POISSON) + ")"
-_BOOT = "b as (select s.*, rep, ('0x' || substr(sha256(rep || '|' || cluster), 9, 8))::bigint / 4294967296.0::double u from s, range({0}) t(rep)), q as (select method, rep, sum({1} * total) / sum({1} * n)::double stat from b where {1} > 0 group by 1, 2), iv as (select method, round(quantile_cont(stat, 0.025), 6) lower, round(quantile_cont(stat, 0.975), 6) upper from q group by 1), mm as (select method, round(sum(total) / sum(n)::double, 6) mean, count(*) n_clusters from s group by 1) select method, mean, n_clusters, lower, upper from mm join iv using (method)"
+_BOOT = "b as (select s.*, rep, ('0x' || substr(sha256(rep || '|' || cluster), 9, 8))::bigint / 4294967296.0::double u from s, range({0}) t(rep)), q as (select method, rep, sum({1} * total) / sum({1} * n)::double stat from b where {1} > 0 group by 1, 2), iv as (select method, round(quantile_cont(stat, 0.025), 6) + 0.0::double lower, round(quantile_cont(stat, 0.975), 6) + 0.0::double upper from q group by 1), mm as (select method, round(sum(total) / sum(n)::double, 6) + 0.0::double mean, count(*) n_clusters from s group by 1) select method, mean, n_clusters, lower, upper from mm join iv using (method)"
 _SUMS = f"{VALUES}, s as (select method, split_part(dialogue_id, '__qa_', 1) as cluster, sum(strict) total, count(*) n from v group by 1, 2)"
 _LV = f"""l0 as (select *, {nv('pred')} np2, trim(coalesce(gold,'')) gd from g where dataset = 'lme_ku' and probe_type = 'P3'), l1 as (select *, list_distinct([gd] || list_filter(list_transform(regexp_extract_all(gd, '(?i)\\((?:or\\s+)?([^()]*)\\)', 1), lambda z: trim(z, ' .,;')) || [trim(regexp_replace(gd, '\\([^()]*\\)', ' ', 'g'), ' .,;')], lambda z: z <> '')) vars from l0),
  l2 as (select answer_no, np2, pred, gd, context, unnest(vars) vr from l1), l3 as (select *, {nv('vr')} nvr, {nv('context')} nc, regexp_extract_all(pred, '\\d+(?:\\.\\d+)?') pn, regexp_extract_all(vr, '\\d+(?:\\.\\d+)?') vn from l2),

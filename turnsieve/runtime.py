@@ -32,12 +32,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, floor: int = HOT_FLOOR) -> list:
-    """Keys that hold more than one in HOT_SHARE rows, so at most HOT_SHARE of them."""
+    """Keys that hold more than one in HOT_SHARE rows, so at most HOT_SHARE of them.
+
+    One aggregation over the key column; the number of all rows is counted only if a key is large
+    enough to matter.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    big = counts.where(F.col("n") > floor)
+    largest = counts.where(F.col("n") > floor).orderBy(F.col("n").desc(), key).limit(HOT_SHARE).collect()
+    if not largest:
+        return []
     total = df.count()
-    rows = big.where(F.col("n") * HOT_SHARE > total).select(key).collect()
-    return [r[0] for r in rows]
+    return [r[0] for r in largest if r["n"] * HOT_SHARE > total]
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, floor: int = HOT_FLOOR) -> DataFrame:
