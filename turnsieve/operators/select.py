@@ -207,6 +207,49 @@ def latest_transitions(changes: DataFrame) -> DataFrame:
     return top.select("dialogue_id", "t.s.slot", "t.turn_id", "t.s.old_value", "t.s.new_value")
 
 
+def pooled_scores(turns: DataFrame, score: Column, reach: int = 2) -> DataFrame:
+    """Scores averaged over the turns around each, missing neighbours as zero: dialogue_id, turn_id,
+    pooled. Every score is sent to its neighbours' keys, so no dialogue is gathered."""
+    rows = turns.select("dialogue_id", "turn_id", score.cast("double").alias("s"))
+    sent = rows.select("dialogue_id", F.explode(F.sequence(F.col("turn_id") - reach, F.col("turn_id") + reach)).alias("turn_id"), "s", F.lit(0).alias("own"))
+    own = rows.select("dialogue_id", "turn_id", F.lit(0.0).alias("s"), F.lit(1).alias("own"))
+    agg = sent.unionByName(own).groupBy("dialogue_id", "turn_id").agg(F.sum("s").alias("s"), F.max("own").alias("own"))
+    return agg.where("own = 1").select("dialogue_id", "turn_id", F.round(F.col("s") / (2 * reach + 1), 6).alias("pooled"))
+
+
+def scaled_scores(turns: DataFrame, score: Column) -> DataFrame:
+    """Scores scaled to 0..1 inside a dialogue; equal scores become one share each."""
+    rows = turns.select("dialogue_id", "turn_id", score.cast("double").alias("s"))
+    bounds = rows.groupBy("dialogue_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
+    flat = F.col("hi") == F.col("lo")
+    return hot_join(rows, bounds, "dialogue_id").select("dialogue_id", "turn_id", F.round(F.when(flat, 1.0 / F.col("n")).otherwise((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))), 6).alias("scaled"))
+
+
+def matched_controls(turns: DataFrame, targets: DataFrame, values: DataFrame, rounds: int) -> DataFrame:
+    """Controls for several targets of a dialogue, in order and without replacement.
+
+    `targets`: dialogue_id, place (from 0), target; `values`: dialogue_id, old_value, new_value, one
+    row a dialogue. Each round joins its targets with the turns still free and takes the nearest.
+    Targets are never controls. dialogue_id, place, target, control.
+    """
+    words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), " +"))
+    rows = turns.select("dialogue_id", "turn_id", "speaker", words.alias("words"), normalize_value("text").alias("norm"))
+    said = values.select("dialogue_id", normalize_value("old_value").alias("o"), normalize_value("new_value").alias("v"))
+    mentions = ((F.col("o") != "") & F.col("norm").contains(F.col("o"))) | ((F.col("v") != "") & F.col("norm").contains(F.col("v")))
+    usable = hot_join(rows, said, "dialogue_id").where(~F.coalesce(mentions, F.lit(False))).drop("norm", "o", "v")
+    taken = targets.select("dialogue_id", F.col("target").alias("turn_id"))
+    out = None
+    for place in range(rounds):
+        own = targets.where(F.col("place") == place).join(rows.select("dialogue_id", F.col("turn_id").alias("target"), F.col("speaker").alias("ts"), F.col("words").alias("tw")), ["dialogue_id", "target"])
+        free = usable.join(taken, ["dialogue_id", "turn_id"], "left_anti")
+        pairs = hot_join(free, own, "dialogue_id").where("target is not null and speaker = ts")
+        nearest = F.min(F.struct(F.abs(F.col("words") - F.col("tw")).alias("a"), F.abs(F.col("turn_id") - F.col("target")).alias("b"), F.col("turn_id").alias("id")))
+        found = checkpointed(pairs.groupBy("dialogue_id", "place", "target").agg(nearest["id"].alias("control")))
+        taken = taken.unionByName(found.select("dialogue_id", F.col("control").alias("turn_id")))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # --- selectors that no set expression states ----------------------------------------------------
 
 
@@ -218,6 +261,19 @@ def sample_exact(n: int, k: int, seed: int, dialogue_id: str) -> list[int]:
     return sorted(random.Random(int.from_bytes(digest[:8], "big") & 0xFFFFFFFF).sample(range(n), min(k, n)))
 
 
+def random_fixed(turns: DataFrame, ratio: float, seed: int) -> DataFrame:
+    """The generator reseeded for each dialogue by the run's seed alone: dialogues of one length and
+    budget keep the same places. Each (length, budget) is drawn once."""
+    lengths = turns.groupBy("dialogue_id").agg(F.count("*").alias("n")).withColumn("k", budget_floor(ratio))
+
+    @F.pandas_udf("array<int>")
+    def pick(n: pd.Series, k: pd.Series) -> pd.Series:
+        known = {(a, b): sorted(random.Random(seed).sample(range(a), b)) for a, b in set(zip(n.astype(int), k.astype(int)))}
+        return pd.Series([known[a, b] for a, b in zip(n.astype(int), k.astype(int))])
+
+    return lengths.select("dialogue_id", F.explode(pick("n", "k")).alias("turn_id"))
+
+
 def random_exact(turns: DataFrame, ratio: float, seed: int) -> DataFrame:
     """Kept indices by the exact generator: dialogue_id, turn_id. One row a dialogue reaches Python."""
     lengths = turns.groupBy("dialogue_id").agg(F.count("*").alias("n")).withColumn("k", budget(ratio))
