@@ -135,8 +135,8 @@ def in_other_language(text: str, context: str, q: Question) -> bool:
     votes = latin_votes(text)
     best = max(votes, key=votes.get)
     if own in ("zh", "ko", "ja"):
-        mine = _HANGUL if own == "ko" else _HAN
-        return votes[best] >= 2 and len(_LATIN.findall(text)) > 2 * len(left(mine).replace(" ", ""))
+        mine, words = (_HANGUL, _KO_ENDS) if own == "ko" else (_HAN, _ZH_WORDS)
+        return votes[best] >= 2 and (len(_LATIN.findall(text)) > 2 * len(left(mine).replace(" ", "")) or not words.search(text))
     return best != own and votes[best] >= 2 and votes[best] > votes.get(own, 0)
 
 

@@ -211,12 +211,12 @@ def _end(text: str, places: list[int], b: int) -> int:
     return end
 
 
-def redact(text: str | None) -> str | None:
-    """Text with typed placeholders; a null stays null."""
+def redact(text: str | None, found: list[tuple[str, int, int]] | None = None) -> str | None:
+    """Text with typed placeholders for its mentions; a null stays null."""
     if text is None:
         return None
     out, at = [], 0
-    for kind, a, b in mentions(text):
+    for kind, a, b in mentions(text) if found is None else found:
         out += [text[at:a], f"<{kind}>"]
         at = b
     return "".join([*out, text[at:]])
@@ -236,6 +236,7 @@ def redacted(documents: DataFrame) -> DataFrame:
     """Every document with its mentions as placeholders: doc_id, redacted_text, n_mentions."""
 
     def run(cols: list[list]) -> list[list]:
-        return [cols[0], [redact(t) for t in cols[1]], [len(mentions(t)) for t in cols[1]]]
+        found = [mentions(t) for t in cols[1]]
+        return [cols[0], [redact(t, m) for t, m in zip(cols[1], found)], [len(m) for m in found]]
 
     return map_rows(spread(documents.select("doc_id", "text")), run, "doc_id bigint, redacted_text string, n_mentions int")
