@@ -27,19 +27,25 @@ def mid_rank(value: Column, partition: list[str]) -> Column:
 def poisson_weight(replicate: Column, cluster: Column) -> Column:
     """Weight of a cluster in a replicate: a Poisson draw from 32 bits of a hash."""
     u = F.conv(F.substring(F.sha2(F.concat_ws("|", replicate.cast("string"), cluster), 256), 9, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out = F.lit(0)
-    for p in POISSON:
-        out = out + (u >= p).cast("int")
-    return out
+
+    def steps(x: Column) -> Column:
+        out = F.lit(0)
+        for p in POISSON:
+            out = out + (x >= p).cast("int")
+        return out
+
+    return F.transform(F.array(u), steps)[0]  # bound once, so that the hash is taken once
 
 
 def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int = 200) -> DataFrame:
     """Mean and percentile interval of sum/count with clusters redrawn: by, mean, n_clusters, lower,
-    upper. Replicate -1 takes every cluster once and gives the mean, so the sums are made once."""
+    upper. Replicate -1 takes every cluster once and gives the mean, so the sums are made once;
+    a replicate that draws no cluster has no value."""
     reps = sums.sparkSession.range(-1, replicates).select(F.col("id").alias("rep"))
     weight = F.when(F.col("rep") < 0, 1).otherwise(poisson_weight(F.col("rep"), F.col(cluster)))
-    drawn = sums.crossJoin(F.broadcast(reps)).withColumn("w", weight).where("w > 0")
-    per = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col(total)) / F.sum(F.col("w") * F.col(count))).alias("stat"), F.count("*").alias("n"))
+    cores = sums.sparkSession.sparkContext.defaultParallelism  # sums are few bytes but much work
+    drawn = sums.repartition(cores, cluster).crossJoin(F.broadcast(reps)).withColumn("w", weight)
+    per = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(total)), F.sum(F.col("w") * F.col(count))).alias("stat"), F.count("*").alias("n"))
     own, drew = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("stat"))
     rounded = lambda c: F.round(c, 6) + F.lit(0.0)
     return per.groupBy(*by).agg(
