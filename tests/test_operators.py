@@ -109,6 +109,26 @@ def test_shared_inlining():
     assert tables["meta"] == "probes" and tables["s_origin"] == "s_origin" and tables["a"] == "a" and tables["span"] == "span" and tables["end"] == "span" and tables["ratio"] == "probes"
 
 
+def test_tables_come_from_the_mapping(spark):
+    extra = '{"probes": [{"method": "m", "meta": {"n_turns": 3, "s_origin": [{"turn_id": 1, "odd": {"a": "x"}}], "new": {"deep": 7}}, "marks": [{"k": 1}, "two"]}], "s": {"p": 1}}'
+    records = spark.createDataFrame([(i, p) for i, p in enumerate([*(p for p, _ in PAYLOADS), extra])], "record_id bigint, payload string")
+    made = {n: [r.asDict() for r in t.collect()] for n, t in nested.nested_tables(records).items()}
+    (probe,) = (r for r in made["probes"] if r["record_id"] == len(PAYLOADS))
+    assert (probe["meta__new__deep"], probe["meta__n_turns"], probe["probe_no"]) == ("7", "3", 0)
+    marks = sorted((r["list_pos"], r["k"], r["value"], r["probe_no"]) for r in made["marks"])
+    assert marks == [(0, "1", None, 0), (1, None, '"two"', 0)]
+    assert {(r["parent_table"], r["parent_no"]) for r in made["marks"]} == {("probes", probe["row_no"])}
+    (entry,) = (r for r in made["s_origin"] if r["record_id"] == len(PAYLOADS))
+    assert (entry["turn_id"], entry["odd__a"], entry["probe_no"]) == ("1", '"x"', 0)
+    assert [r["s__p"] for r in made["record"] if r["record_id"] == len(PAYLOADS)] == ["1"]
+
+
+def test_generated_tables_equal_the_walk(spark, data):
+    records = spark.read.parquet(f"{data}/raw_probe_records.parquet")
+    want = {(r["record_id"], no, p["method"], p["probe_type"], *ref) for r in records.collect() for no, p in enumerate(nested.probes_of(r["payload"])) for ref in p["refs"]}
+    assert want and {tuple(r) for r in nested.reference_table(records).collect()} == want
+
+
 def test_violations_raise(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError, match="keys"):

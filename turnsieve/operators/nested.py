@@ -29,6 +29,11 @@ TURN_LISTS = ("s_origin", "s_evidence", "s_transition_support", "control_origin"
 #: An entry that names a turn in text: a number, alone or in a turn's tag.
 _TURN = re.compile(r"\s*(?:\[\s*T\s*)?([+-]?\d{1,18})(?:\s*\])?\s*")
 _NUMBERED = re.compile(r"\d+")
+#: Members by which an object is a probe, and members that stand apart: no probe and no turn list of one is there.
+MARKS, APART = ("meta", *TURN_LISTS), ("turns", "delivery", "notes")
+#: Between the names of a path in a column's name.
+STEP = "__"
+ROW = "table_name string, record_id bigint, row_no int, parent_table string, parent_no int, list_pos bigint, probe_no int, is_probe boolean, of_probe boolean, method string, probe_type string, turn_id bigint, cells map<string,string>"
 
 
 @dataclass
@@ -61,10 +66,11 @@ def schema_graph(edges: list[tuple[str, str, bool]], root: str = "record") -> di
     return dict(graph)
 
 
-def shared_inlining(graph: dict[str, Element], root: str = "record") -> dict[str, str]:
-    """For every element the table it goes to: its own name, or that of the table it is inlined in."""
+def shared_inlining(graph: dict[str, Element], root: str = "record", forced: frozenset[str] = frozenset()) -> dict[str, str]:
+    """For every element the table it goes to: its own name, or that of the table it is inlined in.
+    Elements of `forced` always have a table."""
     inner = {p for e in graph.values() for p in e.parents}
-    own = {n for n, e in graph.items() if n == root or e.repeated or e.recursive or len(e.parents) > 1 and n in inner}
+    own = {n for n, e in graph.items() if n == root or n in forced or e.repeated or e.recursive or len(e.parents) > 1 and n in inner}
     table: dict[str, str] = {}
     for name in graph:
         at = name
@@ -74,21 +80,41 @@ def shared_inlining(graph: dict[str, Element], root: str = "record") -> dict[str
     return table
 
 
+def probe_holders(edges: list[tuple[str, str, bool]], root: str = "record") -> frozenset[str]:
+    """Elements that are probes somewhere: they carry meta or a list of turns and are not part of one."""
+    below: dict[str, set[str]] = defaultdict(set)
+    for parent, child, _ in edges:
+        below[parent].add(child)
+    seen, todo = {root}, [root]
+    while todo:
+        new = below[todo.pop()] - seen - {*MARKS, *APART}
+        seen |= new
+        todo.extend(new)
+    return frozenset(n for n in seen if below[n] & {*MARKS})
+
+
+def table_columns(edges: list[tuple[str, str, bool]], tables: dict[str, str]) -> dict[str, list[str]]:
+    """For every table the paths of the elements inlined in it; `value` holds entries without members."""
+    below: dict[str, set[str]] = defaultdict(set)
+    for parent, child, _ in edges:
+        below[parent].add(child)
+
+    def paths(element: str, above: str) -> list[str]:
+        return [p for c in sorted(below[element]) if tables[c] != c for p in (above + c, *paths(c, f"{above}{c}{STEP}"))]
+
+    return {t: ["value", *paths(t, "")] for t in sorted({*tables.values()})}
+
+
 def _edges(value, parent: str, out: set) -> None:
-    if isinstance(value, str) and value[:1] in "{[" and (inner := _parsed(value)) is not None:
-        value = inner
+    value = _decoded(value)
     if isinstance(value, dict):
         for key, x in value.items():
-            if _is_list(key, x):
-                out.add((parent, key, True))
-                for y in _entries(x):
-                    _edges(y[1], key, out)
-            elif _NUMBERED.fullmatch(key) or "::" in key:
+            if _NUMBERED.fullmatch(key) or "::" in key:
                 _edges(x, parent, out)
             else:
-                many = isinstance(x, list) or isinstance(x, dict) and any("::" in k for k in x)
+                entries, many = _members(key, x)
                 out.add((parent, key, many))
-                for y in x if isinstance(x, list) else [x]:
+                for _, y, _ in entries:
                     _edges(y, key, out)
     elif isinstance(value, list):
         for x in value:
@@ -120,8 +146,35 @@ def _parsed(text: str | None):
     return value if isinstance(value, (dict, list)) else None
 
 
-def _is_list(key: str, value) -> bool:
-    return key in TURN_LISTS
+def _decoded(value):
+    """The object, or list of objects, that a text holds; every other value as it is."""
+    if isinstance(value, str) and value[:1] in ("{", "["):
+        inner = _parsed(value)
+        if isinstance(inner, dict) or isinstance(inner, list) and any(isinstance(x, (dict, list)) for x in inner):
+            return inner
+    return value
+
+
+def _members(key: str, value) -> tuple[list[tuple[int | None, object, dict]], bool]:
+    """What stands under a member as (place, entry, scalars said by its key), and whether it is a list."""
+    if key in TURN_LISTS:
+        return [(_stated_place(y, at), y, {}) for at, y in _entries(value)], True
+    value = _decoded(value)
+    if isinstance(value, list):
+        return [(at, y, {}) for at, y in enumerate(value)], True
+    if isinstance(value, dict) and value:
+        if all(_NUMBERED.fullmatch(k) for k in value):
+            return [(at, y, {}) for at, y in sorted(((int(k), x) for k, x in value.items()), key=lambda e: e[0])], True
+        if any("::" in k for k in value):
+            each = [(at, x, _said(k)) for at, (k, x) in enumerate(value.items()) if "::" in k]
+            rest = {k: x for k, x in value.items() if "::" not in k}
+            return each + [(None, rest, {})] * bool(rest), True
+    return [(None, value, {})], False
+
+
+def _said(key: str) -> dict:
+    method, _, kind = key.partition("::")
+    return {"method": method, "probe_type": kind}
 
 
 def _entries(value) -> list[tuple[int, object]]:
@@ -169,7 +222,7 @@ def _stated_place(entry, place: int) -> int:
 def probes_of(payload: str | None) -> list[dict]:
     """The probes of one payload as flat rows, each with its turn references.
 
-    Walks the payload once. Scalars found above a probe (method, probe_type) are inherited, the
+    Tests hold the generated tables against this walk by hand. Scalars found above a probe (method, probe_type) are inherited, the
     key `method::probe_type` of an object of probes is split, wrappers are inlined.
     """
     value = _parsed(payload)
@@ -213,21 +266,127 @@ def _collect(value: dict, refs: list, scalars: dict) -> None:
             scalars.setdefault(key, x)
 
 
+def rows_of(payload: str | None, tables: dict[str, str]) -> list[list]:
+    """Rows of one payload in the tables of the mapping, in the order of ROW without the record.
+
+    Cells are JSON texts by the path of their element, so that "3", 3 and null stay apart; an
+    inlined object leaves {}. Rows are numbered over the record. `of_probe` tells that a row is
+    the probe or a lone member of it, the values of which are the probe's own.
+    """
+    out: list[list] = []
+    probes = [0]
+
+    def open_row(element, entry, place, above, known, probe, direct, apart) -> None:
+        counted = element in TURN_LISTS and probe is not None and not apart
+        link = probe or (None, None, None)
+        row = [tables[element], len(out), out[above][0] if above is not None else None, above, place, link[0], False, direct, link[1], link[2], turn_of(entry) if counted else None, {}]
+        out.append(row)
+        fill(entry, element, "", row, known, probe, direct, apart or element in TURN_LISTS)
+
+    def fill(value, element, path, row, known, probe, direct, apart) -> None:
+        if element not in TURN_LISTS:
+            value = _decoded(value)
+        if isinstance(value, list) and not path and element not in TURN_LISTS:
+            for at, x in enumerate(value):
+                open_row(element, x, at, row[1], known, probe, False, apart)
+            return
+        if not isinstance(value, dict):
+            row[-1][path or "value"] = json.dumps(value, ensure_ascii=False)
+            return
+        if path:
+            row[-1][path] = "{}"
+        known = known | {k: value[k] for k in ("method", "probe_type") if isinstance(value.get(k), str)}
+        if probe is None and not apart and any(k in value for k in MARKS):
+            probe, direct = (probes[0], known.get("method"), known.get("probe_type")), True
+            probes[0] += 1
+            row[5:10] = [probe[0], True, True, *probe[1:]]
+        for at, (key, x) in enumerate(value.items()):
+            if "::" in key:
+                open_row(element, x, at, row[1], known | _said(key), probe, direct, apart)
+            elif _NUMBERED.fullmatch(key):
+                open_row(element, x, int(key), row[1], known, probe, direct, apart)
+            elif tables[key] != key:
+                fill(x, key, f"{path}{STEP}{key}" if path else key, row, known, probe, direct, apart or key in APART)
+            else:
+                entries, many = _members(key, x)
+                for place, y, said in entries:
+                    if many or y is not None:
+                        open_row(key, y, place, row[1], known | said, probe, direct and not many, apart or key in APART)
+
+    value = _parsed(payload)
+    if value is not None:
+        open_row("record", value, None, None, {}, None, False, False)
+    return out
+
+
+def mapping_of(records: DataFrame) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Table of every element, and columns of every table, from the edges of all payloads."""
+    edges = [tuple(r) for r in observed_edges(spread(records), "payload").groupBy("parent", "child").agg(F.max("repeated").alias("repeated")).collect()]
+    tables = shared_inlining(schema_graph(edges), forced=probe_holders(edges))
+    return tables, table_columns(edges, tables)
+
+
+def shredded(records: DataFrame, tables: dict[str, str]) -> DataFrame:
+    """Rows of all payloads over all tables of the mapping, with their keys: columns of ROW."""
+
+    def run(cols: list[list]) -> list[list]:
+        rows = [(row[0], rid, *row[1:-1], list(row[-1].items())) for rid, text in zip(*cols) for row in rows_of(text, tables)]
+        return [list(x) for x in zip(*rows)] or [[] for _ in range(13)]
+
+    return map_rows(spread(records.select("record_id", "payload")), run, ROW)
+
+
+def nested_tables(records: DataFrame) -> dict[str, DataFrame]:
+    """The generated tables by name: record_id, row_no, parent_table, parent_no, list_pos, probe_no,
+    and a column for each element that is inlined there."""
+    tables, columns = mapping_of(records)
+    rows = shredded(records, tables)
+    keys = ("record_id", "row_no", "parent_table", "parent_no", "list_pos", "probe_no")
+    out = {}
+    for name, paths in columns.items():
+        taken, made = set(keys), []
+        for path in paths:
+            alias = path
+            while alias.lower() in taken:
+                alias += "_"
+            taken.add(alias.lower())
+            made.append(F.col("cells")[path].alias(alias))
+        out[name] = rows.where(F.col("table_name") == name).select(*keys, *made)
+    return out
+
+
+def table_catalog(records: DataFrame) -> DataFrame:
+    """Columns of the generated tables and the tables their parent_no points to: table_name,
+    column_name, parent_tables."""
+    tables, columns = mapping_of(records)
+    links = shredded(records, tables).groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set("parent_table")), ",").alias("parent_tables"))
+    named = records.sparkSession.createDataFrame([(t, c) for t, cs in columns.items() for c in cs], "table_name string, column_name string")
+    return named.join(links, "table_name", "left")
+
+
 def probe_table(records: DataFrame) -> DataFrame:
     """Flat probes of all payloads: record_id, probe_no, method, probe_type, slot, n_turns, k_turns,
-    ratio, sample_seed, origin_turn_id, final_slot_update_turn_id, control_status."""
+    ratio, sample_seed, origin_turn_id, final_slot_update_turn_id, control_status. A probe's values
+    stand in its own row and in those of its lone members that have a table; the first one counts."""
     names = ("method", "probe_type", "slot", "n_turns", "k_turns", "ratio", "sample_seed", "origin_turn_id", "final_slot_update_turn_id", "transition_support_control_status")
+    rows = shredded(records, mapping_of(records)[0]).where("probe_no is not null and of_probe")
+
+    def first(name: str):
+        said = F.filter(F.map_entries("cells"), lambda e: (F.element_at(F.split(e["key"], STEP), -1) == name) & ~e["value"].isin("null", "{}") & ~F.startswith(e["value"], F.lit("[")))
+        return F.try_element_at(said, F.lit(1))["value"]
+
+    told = rows.select("record_id", "probe_no", "row_no", F.when(F.col("is_probe"), F.col("method")).alias("m"), F.when(F.col("is_probe"), F.col("probe_type")).alias("t"), *[first(n).alias(f"c{i}") for i, n in enumerate(names)])
+    each = told.groupBy("record_id", "probe_no").agg(F.max("m").alias("m"), F.max("t").alias("t"), *[F.min_by(f"c{i}", F.when(F.col(f"c{i}").isNotNull(), F.col("row_no"))).alias(f"c{i}") for i in range(len(names))])
 
     def run(cols: list[list]) -> list[list]:
-        rows = [(rid, no, *(p.get(n) for n in names)) for rid, text in zip(*cols) for no, p in enumerate(probes_of(text))]
-        made = [list(x) for x in zip(*rows)] or [[] for _ in range(len(names) + 2)]
-        whole = {5, 6, 8, 9, 10}
-        for i in range(2, len(made)):
-            made[i] = [_whole(x) if i in whole else _real(x) if i == 7 else x if x is None else str(x) for x in made[i]]
-        return made
+        rid, no, m, t, *cells = cols
+        made = [[None if x is None else json.loads(x) for x in c] for c in cells]
+        made[:2] = [[a if a is not None else b for a, b in zip(c, known)] for c, known in zip(made, (m, t))]
+        whole = {3, 4, 6, 7, 8}
+        return [rid, no, *([_whole(x) if i in whole else _real(x) if i == 5 else x if x is None else str(x) for x in c] for i, c in enumerate(made))]
 
     schema = "record_id bigint, probe_no int, method string, probe_type string, slot string, n_turns bigint, k_turns bigint, ratio double, sample_seed bigint, origin_turn_id bigint, final_slot_update_turn_id bigint, control_status string"
-    return map_rows(spread(records.select("record_id", "payload")), run, schema)
+    return map_rows(each, run, schema)
 
 
 def _whole(x) -> int | None:
@@ -239,14 +398,10 @@ def _real(x) -> float | None:
 
 
 def reference_table(records: DataFrame) -> DataFrame:
-    """Turn references of all payloads, linked to record and probe: record_id, probe_no, method,
-    probe_type, list_name, list_pos, turn_id (null where the entry names no turn)."""
-
-    def run(cols: list[list]) -> list[list]:
-        rows = [(rid, no, p["method"], p["probe_type"], *ref) for rid, text in zip(*cols) for no, p in enumerate(probes_of(text)) for ref in p["refs"]]
-        return [list(x) for x in zip(*rows)] or [[] for _ in range(7)]
-
-    return map_rows(spread(records.select("record_id", "payload")), run, "record_id bigint, probe_no int, method string, probe_type string, list_name string, list_pos bigint, turn_id bigint")
+    """The tables of the five lists under each other, linked to record and probe: record_id, probe_no,
+    method, probe_type, list_name, list_pos, turn_id (null where the entry names no turn)."""
+    rows = shredded(records, mapping_of(records)[0]).where(F.col("table_name").isin(*TURN_LISTS) & F.col("probe_no").isNotNull())
+    return rows.select("record_id", "probe_no", "method", "probe_type", F.col("table_name").alias("list_name"), "list_pos", "turn_id")
 
 
 def meta_references(probes: DataFrame) -> DataFrame:
@@ -264,13 +419,6 @@ def turn_references(probes: DataFrame, records: DataFrame) -> DataFrame:
     probe_type, list_name, list_pos, turn_id. Equal entries of one record come once."""
     own = meta_references(probes).where("turn_id is not null").select(F.lit("probes").alias("source_table"), "*")
 
-    def run(cols: list[list]) -> list[list]:
-        rows = []
-        for rid, text in zip(*cols):
-            found = dict.fromkeys((rid, p["method"], p["probe_type"], *ref) for p in probes_of(text) for ref in p["refs"] if ref[2] is not None)
-            rows.extend(found)
-        return [list(x) for x in zip(*rows)] or [[] for _ in range(6)]
-
-    schema = "parent_id bigint, method string, probe_type string, list_name string, list_pos bigint, turn_id bigint"
-    sent = map_rows(spread(records.select("record_id", "payload")), run, schema).select(F.lit("raw_probe_records").alias("source_table"), "*")
+    named = reference_table(records).where("turn_id is not null")
+    sent = named.select(F.lit("raw_probe_records").alias("source_table"), F.col("record_id").alias("parent_id"), "method", "probe_type", "list_name", "list_pos", "turn_id").distinct()
     return own.unionByName(sent)
