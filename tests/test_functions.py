@@ -130,3 +130,36 @@ def test_readers_answer_and_fail_by_row(spark):
     assert '"10:30"' in got[1]["text"] and got[2]["error"] == "no-prompt"
     with pytest.raises(ValueError, match="unknown reader"):
         readers.answer(rows, "k", "p", "gpt")
+
+
+def test_many_replicates_against_a_plain_loop(spark):
+    rows = [("a" if i % 3 else "b", f"c{i // 2}", float(i % 2) + i / 50, 1 + i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, c string, total double, n bigint")
+    got = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_many(df, ["g"], "c", "total", "n", 5000).collect()}
+    again = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_many(df.repartition(7), ["g"], "c", "total", "n", 5000).collect()}
+    assert got == again
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        w = np.stack([stats.cluster_weights(r[1], 5000) for r in own])
+        s, n = (w * np.array([r[k] for r in own])[:, None] for k in (2, 3))
+        drawn = (s.sum(axis=0) / n.sum(axis=0))[n.sum(axis=0) > 0]
+        want = (sum(r[2] for r in own) / sum(r[3] for r in own), len(own), *np.quantile(drawn, [0.025, 0.975]))
+        assert got[g] == pytest.approx(want, abs=2e-6)
+
+
+def test_cluster_weights_are_poisson():
+    w = np.concatenate([stats.cluster_weights(f"c{i}", 10_000) for i in range(50)])
+    assert len(w) == 500_000 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and w.max() >= 8
+
+
+@pytest.mark.parametrize("name,count", [("bootstrap_methods_full", 10_000), ("paired_contrast_full", 5_000)])
+def test_registered_intervals_take_all_replicates(name, count, spark, data, monkeypatch):
+    from turnsieve.plans import queries as core
+
+    asked, plain = [], stats.bootstrap_many
+    monkeypatch.setattr(stats, "bootstrap_many", lambda *a: asked.append(a[-1]) or plain(*a))
+    short = {r["method"]: r for r in core.QUERIES[name.removesuffix("_full")](spark, data).collect()}
+    found = {r["method"]: r for r in core.QUERIES[name](spark, data).collect()}
+    assert asked == [count] and set(found) == set(short)
+    for m, r in found.items():
+        assert (r["mean"], r["n_clusters"]) == (short[m]["mean"], short[m]["n_clusters"]) and r["lower"] <= r["mean"] <= r["upper"]

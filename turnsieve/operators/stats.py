@@ -8,7 +8,11 @@ the data are partitioned. Exact small-sample versions are beside them.
 
 from __future__ import annotations
 
+import hashlib
+from math import exp, factorial
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,10 @@ def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, co
     cores = sums.sparkSession.sparkContext.defaultParallelism  # sums are few bytes but much work
     drawn = sums.repartition(cores, cluster).crossJoin(F.broadcast(reps)).withColumn("w", weight)
     per = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(total)), F.sum(F.col("w") * F.col(count))).alias("stat"), F.count("*").alias("n"))
+    return _intervals(per, by)
+
+
+def _intervals(per: DataFrame, by: list[str]) -> DataFrame:
     own, drew = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("stat"))
     rounded = lambda c: F.round(c, 6) + F.lit(0.0)
     return per.groupBy(*by).agg(
@@ -53,6 +61,53 @@ def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, co
     )
 
 
+#: Cumulative probabilities of the same variable as 32-bit thresholds, as far as 32 bits tell them apart.
+_POISSON_32 = np.array([t for k in range(16) if (t := round(2**32 * exp(-1) * sum(1 / factorial(i) for i in range(k + 1)))) < 2**32], dtype=np.uint64)
+
+
+def cluster_weights(cluster: str, replicates: int) -> np.ndarray:
+    """Poisson weights of a cluster in all replicates, by a counter generator keyed with the cluster's hash."""
+    key = int.from_bytes(hashlib.sha256(cluster.encode()).digest()[:16], "little")
+    words = np.random.Philox(key=key).random_raw((replicates + 1) // 2)
+    u = np.stack([words & np.uint64(0xFFFFFFFF), words >> np.uint64(32)], axis=1).ravel()[:replicates]
+    return np.searchsorted(_POISSON_32, u, side="right").astype(np.float64)
+
+
+def bootstrap_many(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int) -> DataFrame:
+    """As bootstrap_ratio for thousands of replicates: a cluster draws its weights once, for all groups
+    and replicates, and each task adds up its clusters, so that only tasks x groups x replicates
+    partial sums are shuffled. A null cluster is one cluster."""
+    kinds = dict(sums.dtypes)
+
+    def run(batches):
+        made: dict[tuple, list] = {}
+        for rows in batches:
+            rows = rows.assign(_c=rows[cluster].fillna("").astype(str))
+            names = rows["_c"].unique()
+            for at in range(0, len(names), 128):
+                block = names[at : at + 128]
+                place = {c: i for i, c in enumerate(block)}
+                weights = np.stack([cluster_weights(c, replicates) for c in block], axis=1)
+                for group, own in rows[rows["_c"].isin(place)].groupby(by, dropna=False):
+                    values = own[[total, count]].to_numpy(dtype=np.float64)
+                    each = np.zeros((len(block), 2))
+                    np.add.at(each, own["_c"].map(place).to_numpy(), values)
+                    plain, n, drawn = made.setdefault(group, [np.zeros(2), 0, np.zeros((replicates, 2))])
+                    made[group] = [plain + values.sum(axis=0), n + len(own), drawn + weights @ each]
+        for group, (plain, n, drawn) in made.items():
+            out = pd.DataFrame(np.vstack([plain, drawn]), columns=["s", "c"])
+            out.insert(0, "rep", np.arange(-1, replicates))
+            out["n"] = n
+            for i, name in enumerate(by):
+                out.insert(i, name, group[i])
+            yield out
+
+    cores = sums.sparkSession.sparkContext.defaultParallelism
+    placed = sums.select(*by, cluster, total, count).repartition(cores, cluster).sortWithinPartitions(cluster)
+    parts = placed.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", rep int, s double, c double, n bigint")
+    return _intervals(parts.groupBy(*by, "rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("stat"), F.sum("n").alias("n")), by)
+
+
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """Score interval of a share; null for n = 0."""
     p = successes / n

@@ -230,12 +230,25 @@ def bootstrap_methods(spark, d):
     return stats.bootstrap_ratio(_cluster_sums(spark, d), ["method"], "cluster", "total", "n", 60)
 
 
-def paired_contrast(spark, d):
-    """Full context less each selector on the same dialogue, with a cluster interval."""
+def bootstrap_methods_full(spark, d):
+    """Cluster bootstrap of strict rates by method, the reference's 10,000 replicates."""
+    return stats.bootstrap_many(_cluster_sums(spark, d), ["method"], "cluster", "total", "n", 10_000)
+
+
+def _paired_gains(spark, d):
     per = _cluster_sums(spark, d).select("method", "cluster", (F.col("total") / F.col("n")).alias("acc"))
     full = per.where("method = 'full_context'").select("cluster", F.col("acc").alias("full"))
-    pairs = per.where("method <> 'full_context'").join(full, "cluster").select("method", "cluster", F.round(F.col("full") - F.col("acc"), 9).alias("gain"), F.lit(1).alias("one"))
-    return stats.bootstrap_ratio(pairs, ["method"], "cluster", "gain", "one", 40)
+    return per.where("method <> 'full_context'").join(full, "cluster").select("method", "cluster", F.round(F.col("full") - F.col("acc"), 9).alias("gain"), F.lit(1).alias("one"))
+
+
+def paired_contrast(spark, d):
+    """Full context less each selector on the same dialogue, with a cluster interval."""
+    return stats.bootstrap_ratio(_paired_gains(spark, d), ["method"], "cluster", "gain", "one", 40)
+
+
+def paired_contrast_full(spark, d):
+    """The paired contrast with the reference's 5,000 replicates."""
+    return stats.bootstrap_many(_paired_gains(spark, d), ["method"], "cluster", "gain", "one", 5_000)
 
 
 def percentiles(spark, d):
@@ -274,7 +287,7 @@ def normalize_exact(spark, d):
 _ALL = (
     answers_joined, score_p1, score_p2, score_p3_whole, score_p3_segment, score_lme, score_zh, score_fmts, support_in_context, old_state_reversion, agg_method_rates, agg_cells, agg_seed_means, agg_variable_seed, agg_loss_decomposition,
     agg_confusion, agg_subset_reports, agg_agreement, agg_included_excluded, agg_conditions, agg_coverage, agg_medians, agg_last_wins, agg_random_consolidated, agg_group_seed_counts, agg_metric_tall, agg_model_counts, flatten_cells,
-    composite_key_flatten, rank_midrank, spearman_methods, best_method_sets, bootstrap_methods, paired_contrast, percentiles, wilson_interval, mcnemar_tests, parse_mode_rates, normalize_exact,
+    composite_key_flatten, rank_midrank, spearman_methods, best_method_sets, bootstrap_methods, bootstrap_methods_full, paired_contrast, paired_contrast_full, percentiles, wilson_interval, mcnemar_tests, parse_mode_rates, normalize_exact,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
