@@ -163,3 +163,12 @@ def test_registered_intervals_take_all_replicates(name, count, spark, data, monk
     assert asked == [count] and set(found) == set(short)
     for m, r in found.items():
         assert (r["mean"], r["n_clusters"]) == (short[m]["mean"], short[m]["n_clusters"]) and r["lower"] <= r["mean"] <= r["upper"]
+
+
+def test_consolidation_needs_every_seed(spark):
+    rows = [("x", "d1", 1, 1.0), ("x", "d1", 2, 0.0), ("x", "d1", 3, 1.0), ("x", "d2", 1, 0.0), ("x", "d2", 2, 0.0), ("y", "d3", 1, 1.0), ("y", "d4", 2, 0.0), ("z", "d5", 1, 0.5)]
+    got = {r["dataset"]: r for r in stats.consolidated_seeds(spark.createDataFrame(rows, "dataset string, dialogue_id string, seed int, acc double")).collect()}
+    x, y, z = got["x"], got["y"], got["z"]
+    assert (x["n_seeds"], x["n_dialogues"], x["mean"], x["seed_mean"], x["seed_sd"]) == (3, 1, 0.666667, 0.5, 0.5)
+    assert (y["n_dialogues"], y["mean"], y["seed_mean"], y["seed_sd"]) == (0, None, 0.5, 0.707107)
+    assert (z["n_dialogues"], z["mean"], z["seed_sd"]) == (1, 0.5, 0.0)

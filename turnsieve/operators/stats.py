@@ -108,6 +108,16 @@ def bootstrap_many(sums: DataFrame, by: list[str], cluster: str, total: str, cou
     return _intervals(parts.groupBy(*by, "rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("stat"), F.sum("n").alias("n")), by)
 
 
+def consolidated_seeds(rows: DataFrame) -> DataFrame:
+    """From dataset, dialogue_id, seed, acc (one row each): mean of the dialogue means over the
+    dialogues that all seeds of the dataset share, null where there is none, beside mean and
+    deviation of the seed means over all dialogues of each seed (deviation 0 for one seed)."""
+    seeds = rows.groupBy("dataset", "seed").agg(F.avg("acc").alias("m")).groupBy("dataset").agg(F.count("*").alias("n_seeds"), F.round(F.avg("m"), 6).alias("seed_mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 6).alias("seed_sd"))
+    each = rows.groupBy("dataset", "dialogue_id").agg(F.count("*").alias("have"), F.avg("acc").alias("mean")).join(F.broadcast(seeds), "dataset")
+    shared = F.col("have") == F.col("n_seeds")
+    return each.groupBy("dataset", "n_seeds", "seed_mean", "seed_sd").agg(F.count_if(shared).alias("n_dialogues"), F.round(F.avg(F.when(shared, F.col("mean"))), 6).alias("mean"))
+
+
 def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     """Score interval of a share; null for n = 0."""
     p = successes / n

@@ -165,6 +165,13 @@ def agg_random_consolidated(spark, d):
     return shared.groupBy("dataset").agg(F.count("*").alias("n_dialogues"), F.round(F.avg("mean"), 6).alias("mean"), F.round(F.stddev_samp("mean"), 6).alias("sd"))
 
 
+def agg_random_shared(spark, d):
+    """Random selector by dataset: mean over the dialogues that all seeds share, null where there is
+    none, and mean and deviation of the seed means over all dialogues of each seed."""
+    rows = _value_scores(spark, d).where("method = 'random_seed' and seed is not null").groupBy("dataset", "dialogue_id", "seed").agg(F.avg("strict").alias("acc"))
+    return stats.consolidated_seeds(rows)
+
+
 def agg_group_seed_counts(spark, d):
     from ..functions.strings import slot_group
 
@@ -286,7 +293,7 @@ def normalize_exact(spark, d):
 
 _ALL = (
     answers_joined, score_p1, score_p2, score_p3_whole, score_p3_segment, score_lme, score_zh, score_fmts, support_in_context, old_state_reversion, agg_method_rates, agg_cells, agg_seed_means, agg_variable_seed, agg_loss_decomposition,
-    agg_confusion, agg_subset_reports, agg_agreement, agg_included_excluded, agg_conditions, agg_coverage, agg_medians, agg_last_wins, agg_random_consolidated, agg_group_seed_counts, agg_metric_tall, agg_model_counts, flatten_cells,
+    agg_confusion, agg_subset_reports, agg_agreement, agg_included_excluded, agg_conditions, agg_coverage, agg_medians, agg_last_wins, agg_random_consolidated, agg_random_shared, agg_group_seed_counts, agg_metric_tall, agg_model_counts, flatten_cells,
     composite_key_flatten, rank_midrank, spearman_methods, best_method_sets, bootstrap_methods, bootstrap_methods_full, paired_contrast, paired_contrast_full, percentiles, wilson_interval, mcnemar_tests, parse_mode_rates, normalize_exact,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -365,6 +372,7 @@ ORACLE = {
     "agg_medians": "select method, median(meta.n_turns) median_turns, median(meta.k_turns) median_kept, round(median(compressed_text_chars), 3) median_chars from probes where meta is not null group by 1",
     "agg_last_wins": "select dialogue_id, method, probe_type, max(row_id) as row_id, min(row_id) as first_place, (array_agg(gold order by row_id desc))[1] as gold from probes group by 1, 2, 3",
     "agg_random_consolidated": f"{VALUES}, q as (select dataset, dialogue_id, seed, avg(strict) acc from v where method = 'random_seed' and seed is not null group by 1, 2, 3), z as (select dataset, count(distinct seed) seeds from q group by 1), w as (select dataset, dialogue_id, count(*) have, avg(acc) mean from q group by 1, 2) select dataset, count(*) n_dialogues, round(avg(mean), 6) mean, round(stddev_samp(mean), 6) sd from w join z using (dataset) where have >= least(seeds, 2) group by 1",
+    "agg_random_shared": f"{VALUES}, q as (select dataset, dialogue_id, seed, avg(strict) acc from v where method = 'random_seed' and seed is not null group by 1, 2, 3), sm as (select dataset, seed, avg(acc) m from q group by 1, 2), z as (select dataset, count(*) n_seeds, round(avg(m), 6) seed_mean, round(coalesce(stddev_samp(m), 0), 6) seed_sd from sm group by 1), w as (select dataset, dialogue_id, count(*) have, avg(acc) mean from q group by 1, 2) select dataset, n_seeds, seed_mean, seed_sd, count(*) filter (where have = n_seeds) n_dialogues, round(avg(mean) filter (where have = n_seeds), 6) mean from w join z using (dataset) group by 1, 2, 3, 4",
     "agg_metric_tall": f"{VALUES}, q as (select method, unnest([{{'m':'strict','v':strict::double}}, {{'m':'loose','v':loose::double}}, {{'m':'err','v':err::double}}, {{'m':'unparsed','v':(not parsed)::int::double}}]) e from v) select method, e.m as metric, round(avg(e.v), 6) mean from q group by 1, 2",
     "agg_model_counts": "select model, batch_size, count(*) n, count(error) n_errors from reused_raw_answers group by 1, 2",
     "flatten_cells": f"{VALUES} select dataset, method, count(*) n, round(avg(strict), 6) strict_acc from v group by 1, 2",
