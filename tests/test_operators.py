@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from turnsieve import runtime
@@ -129,6 +130,18 @@ def test_generated_tables_equal_the_walk(spark, data):
     assert want and {tuple(r) for r in nested.reference_table(records).collect()} == want
 
 
+@pytest.mark.parametrize("n,limits", [(5000, {}), (600, {"one_task": 200, "candidates": 40}), (300, {"one_task": 200, "candidates": 1})])
+def test_mmr_is_exact_in_groups_of_every_size(spark, n, limits):
+    ratio = 0.02
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 3)).astype(np.float32)
+    v[n // 2 : n // 2 + 40] = v[:40]  # equal vectors
+    rows = [("g", i, x.tolist()) for i, x in enumerate(v)] + [("h", i, x.tolist()) for i, x in enumerate(v[:30])]
+    df = spark.createDataFrame(rows, "g string, i int, v array<float>").repartition(5)
+    got = {(r["g"], r["i"]) for r in select.mmr(df, "g", "i", "v", ratio, **limits).collect()}
+    assert got == {("g", i) for i in select.mmr_order(v, int(n * ratio))} | {("h", i) for i in select.mmr_order(v[:30], 1)}
+
+
 def test_violations_raise(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
     with pytest.raises(ValueError, match="keys"):

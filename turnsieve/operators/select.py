@@ -304,15 +304,14 @@ def mmr_order(vectors: np.ndarray, k: int, weight: float = 0.5) -> list[int]:
     return sorted(kept)
 
 
-def mmr(vectors: DataFrame, group: str, item: str, vector: str, ratio: float, block: int = 4096) -> DataFrame:
+def mmr(vectors: DataFrame, group: str, item: str, vector: str, ratio: float, one_task: int = 32_768, candidates: int = 4096) -> DataFrame:
     """Items kept by greedy relevance and diversity: group, item.
 
-    The greedy choice is sequential, so a group is cut into blocks of at most `block` items by the
-    hash of the item, each with its share of the budget; groups within a block are exact.
+    Exact for every size, with one mean and one budget a group. A group of at most `one_task` items
+    is one task's work; larger groups stay spread out, see `_mmr_spread`. Items are unique in a group.
     """
     sizes = vectors.groupBy(group).agg(F.count("*").alias("n"))
-    placed = hot_join(vectors.select(group, item, vector), sizes, group)
-    keyed = placed.withColumn("_block", F.pmod(F.xxhash64(item), F.ceil(F.col("n") / block)).cast("int"))
+    large = [(r[0], r["n"]) for r in sizes.where(F.col("n") > one_task).orderBy(group).collect()]
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(item)
@@ -320,5 +319,90 @@ def mmr(vectors: DataFrame, group: str, item: str, vector: str, ratio: float, bl
         return rows.iloc[mmr_order(np.stack(rows[vector].to_numpy()), k)][[group, item]]
 
     kinds = dict(vectors.dtypes)
-    return keyed.groupBy(group, "_block").applyInPandas(pick, f"{group} {kinds[group]}, {item} {kinds[item]}")
+    own = lambda g: F.col(group).eqNullSafe(F.lit(g))
+    rest = vectors.select(group, item, vector)
+    for g, _ in large:
+        rest = rest.where(~own(g))
+    out = rest.groupBy(group).applyInPandas(pick, f"{group} {kinds[group]}, {item} {kinds[item]}")
+    for g, n in large:
+        out = out.unionByName(_mmr_spread(vectors.where(own(g)).select(group, item, vector), group, item, vector, max(1, int(n * ratio)), candidates))
+    return out
+
 
+def _mmr_spread(rows: DataFrame, group: str, item: str, vector: str, k: int, candidates: int) -> DataFrame:
+    """The greedy choice over one group's partitions: each round every partition gives its leaders
+    and the first item behind them. A score only falls once something is kept, so a leader ahead of
+    all items behind is the greedy choice; the round ends where that is no longer certain, and what
+    it kept is brought to all partitions. At most `candidates` leaders reach the driver (one a
+    partition at least), and a round keeps at least one item.
+    """
+    weight = 0.5
+    kinds = dict(rows.dtypes)
+    means = rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()
+    query = np.array([r["m"] for r in means])
+    length = np.linalg.norm(query)
+
+    def dots(v: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,j->i", v, to)
+
+    def stacked(part: pd.DataFrame) -> np.ndarray:
+        return np.stack(part[vector].to_numpy()).astype(np.float64)
+
+    def begin(parts):
+        for part in parts:
+            if len(part):
+                v = stacked(part)
+                yield part.assign(_rel=dots(v, query) / (np.linalg.norm(v, axis=1) * length + 1e-9), _worst=0.0, _kept=False)
+
+    def keeping(kept: list, ids: set, first: bool):
+        def run(parts):
+            for part in parts:
+                if len(part):
+                    v, worst = stacked(part), part["_worst"].to_numpy()
+                    norms = np.linalg.norm(v, axis=1)
+                    for at, to in enumerate(kept):
+                        near = dots(v, to) / (norms * np.linalg.norm(to) + 1e-9)
+                        worst = near if first and not at else np.maximum(worst, near)
+                    yield part.assign(_worst=worst, _kept=part["_kept"] | part[item].isin(ids))
+
+        return run
+
+    def leaders(count: int):
+        def run(parts):
+            best = None
+            for part in parts:
+                part = part[~part["_kept"]]
+                part = part.assign(_score=weight * part["_rel"] - (1 - weight) * part["_worst"])
+                best = part if best is None else pd.concat([best, part])
+                best = best.sort_values(["_score", item], ascending=[False, True]).head(count + 1)
+            if best is not None and len(best):
+                yield best.assign(_behind=np.arange(len(best)) == count)[[item, vector, "_rel", "_worst", "_score", "_behind"]]
+
+        return run
+
+    shape = f"{group} {kinds[group]}, {item} {kinds[item]}, {vector} {kinds[vector]}, _rel double, _worst double, _kept boolean"
+    shown = f"{item} {kinds[item]}, {vector} {kinds[vector]}, _rel double, _worst double, _score double, _behind boolean"
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    state = checkpointed(rows.repartition(cores, item).mapInPandas(begin, shape))
+    each = max(1, candidates // state.rdd.getNumPartitions())
+    done = 0
+    while done < k:
+        top = state.mapInPandas(leaders(each), shown).toPandas().sort_values(item).reset_index(drop=True)
+        behind = min(((-s, i) for s, i in top.loc[top["_behind"], ["_score", item]].itertuples(index=False)), default=None)
+        top = top[~top["_behind"]]
+        ids, v, worst = top[item].tolist(), stacked(top), top["_worst"].to_numpy().copy()
+        norms, rel, free = np.linalg.norm(v, axis=1), top["_rel"].to_numpy(), np.ones(len(top), dtype=bool)
+        taken: list[int] = []
+        while done + len(taken) < k and free.any():
+            score = np.where(free, weight * rel - (1 - weight) * worst, -np.inf)
+            at = int(np.argmax(score))
+            if behind is not None and (-score[at], ids[at]) > behind:
+                break
+            taken.append(at)
+            free[at] = False
+            if not done:  # with nothing kept there is no penalty; from then on scores only fall
+                break
+            worst = np.maximum(worst, dots(v, v[at]) / (norms * norms[at] + 1e-9))
+        state = checkpointed(state.mapInPandas(keeping([v[i] for i in taken], {ids[i] for i in taken}, not done), shape))
+        done += len(taken)
+    return state.where("_kept").select(group, item)
