@@ -228,3 +228,41 @@ def test_mentions_on_tables(spark, docs):
     assert personal.personal_mentions(docs).count() == 0
     assert personal.redacted(docs).where("n_mentions = 0").count() == len(TEXTS)
     assert personal.personal_mentions(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_filling_has_least_waste(seed, monkeypatch):
+    rng = random.Random(seed)
+    room = rng.choice([60, 100, 500])
+    left = {3 * rng.randint(3, 40): rng.randint(1, 4) for _ in range(12)} | {50: 1}
+    sums = {0}
+    for s, n in left.items():
+        sums |= {x + s * k for x in sums for k in range(1, n + 1) if x + s * k <= room}
+    sizes = sorted(left, reverse=True)
+    found = {}
+    for nodes in (10**9, 5):
+        monkeypatch.setattr(packing, "NODES", nodes)
+        found[nodes] = packing.best_filling(room, sizes, left)
+        assert sum(found[nodes]) == max(sums) and all(found[nodes].count(s) <= left[s] for s in found[nodes])
+    assert found[5] == found[10**9]
+
+
+def test_filling_is_exact_beyond_the_nodes():
+    sizes = [*range(2100, 300, -3), 100]  # all but one are multiples of 3: only 100 fills 4000 whole
+    filling = packing.best_filling(4000, sizes, dict.fromkeys(sizes, 1))
+    assert sum(filling) == 4000 and 100 in filling
+
+
+def test_bin_completion_stops_where_it_cannot_equal_the_incumbent():
+    assert packing.complete_bins({5: 4}, 10, 1) is None
+    assert packing.complete_bins({5: 4}, 10, 2) == [({5: 2}, 2)]
+
+
+def test_packing_above_the_search_items_meets_a_tighter_count():
+    sizes = dict.fromkeys(range(300, 1501, 3), 5)
+    for hot, capacity, before in ((3000, 2000, 2405), (100, 2000, 955), (3000, 3000, 1604)):
+        counts = sizes | {1000: hot}
+        out = packing.pack_sizes(counts, capacity)
+        used = {s: sum(p.get(s, 0) * t for p, t in out) for s in counts}
+        assert used == counts and all(sum(s * k for s, k in p.items()) <= capacity for p, _ in out)
+        assert sum(t for _, t in out) <= before - (capacity == 2000)

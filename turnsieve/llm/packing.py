@@ -24,24 +24,31 @@ from ..runtime import checkpointed, map_rows
 from .bpe import NAME, VOCABULARIES
 from .tokens import sized
 
-#: Fillings looked at around one largest item before the best so far is taken.
+#: Nodes of the search for one filling before its sums are counted out, and fillings a node of the
+#: branch and bound looks at.
 NODES = 400
 #: Items up to which a solution above the lower bound is searched further, and nodes of that search.
 SEARCH_ITEMS, SEARCH_NODES = 200, 4000
 
 
-def best_filling(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ...]:
+def best_filling(room: int, sizes: list[int], left: dict[int, int], exact: bool = True) -> tuple[int, ...]:
     """The filling of `room` with least waste, larger items first among equals.
 
     Depth-first over sizes in descending order. A branch ends when its waste bound, the room less
     all that could still be added, cannot beat the incumbent; a filling without waste ends the
-    search. A filling that leaves room for an item it skipped is dominated and never completed.
+    search. Where NODES nodes do not settle it, the sums that fit are counted out instead, or, if not
+    `exact`, the best so far is taken.
     """
+    beyond = [0] * (len(sizes) + 1)
+    for i in range(len(sizes) - 1, -1, -1):
+        beyond[i] = beyond[i + 1] + sizes[i] * left[sizes[i]]
     best: tuple[int, tuple[int, ...]] = (room + 1, ())
     nodes = 0
     at = _first_at_most(sizes, room)
     stack: list[tuple[int, int, tuple[int, ...], int]] = [(at, room, (), 0)]
-    while stack and nodes < NODES:
+    while stack:
+        if nodes >= NODES:
+            return _exact_filling(room, sizes, left) if exact else best[1]
         i, free, chosen, used = stack.pop()
         nodes += 1
         if free < best[0]:
@@ -51,7 +58,7 @@ def best_filling(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int
         while i < len(sizes) and (sizes[i] > free or left[sizes[i]] <= (used if chosen and chosen[-1] == sizes[i] else 0)):
             i = _first_at_most(sizes, free, i) if sizes[i] > free else i + 1
             used = 0
-        if i >= len(sizes):
+        if i >= len(sizes) or free - beyond[i] >= best[0]:
             continue
         size = sizes[i]
         have = used if chosen and chosen[-1] == size else 0
@@ -60,6 +67,31 @@ def best_filling(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int
     return best[1]
 
 
+def _exact_filling(room: int, sizes: list[int], left: dict[int, int]) -> tuple[int, ...]:
+    """As best_filling, by the sums that are reachable with the sizes from each one on (bits of an int)."""
+    usable = [s for s in sizes if s <= room and left[s] > 0]
+    mask = (1 << (room + 1)) - 1
+    reach = [1] * (len(usable) + 1)
+    for i in range(len(usable) - 1, -1, -1):
+        s, r = usable[i], reach[i + 1]
+        k, step = min(left[s], room // s), 1
+        while k:
+            t = min(step, k)
+            r |= (r << (s * t)) & mask
+            k -= t
+            step *= 2
+        reach[i] = r
+    rest = reach[0].bit_length() - 1
+    chosen: list[int] = []
+    for i, s in enumerate(usable):
+        k = min(left[s], rest // s)
+        while not reach[i + 1] >> (rest - s * k) & 1:
+            k -= 1
+        chosen += [s] * k
+        rest -= s * k
+    return tuple(chosen)
+
+
 def _first_at_most(sizes: list[int], room: int, start: int = 0) -> int:
     """Place of the first size not above `room` in a descending list."""
     return bisect_left(sizes, -room, lo=start, key=lambda s: -s)
@@ -71,19 +103,42 @@ Patterns = list[tuple[dict[int, int], int]]
 def pack_sizes(counts: dict[int, int], capacity: int) -> Patterns:
     """Container patterns (items by size) and how often each is used; every item is used once.
 
-    The best of bin completion and best-fit is the incumbent; unless it meets the lower bound, few
-    items (at most SEARCH_ITEMS) are searched by branch and bound for fewer containers.
+    Best-fit is the incumbent that bin completion has to equal or beat; while the lower bound is
+    missed, completion with fillings of near least waste is tried too, at most SEARCH_ITEMS items are
+    searched by branch and bound, and of more items those in the containers with most waste are.
     """
     left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
     least = lower_bound(left, capacity)
-    best = complete_bins(left, capacity)
+    best = best_fit(left, capacity)
+    best = complete_bins(left, capacity, _used(best)) or best
     if _used(best) > least:
-        best = min(best, best_fit(left, capacity), key=_used)
+        best = complete_bins(left, capacity, _used(best) - 1, exact=False) or best
     if _used(best) > least and sum(left.values()) <= SEARCH_ITEMS:
-        best = _branch_and_bound(left, capacity, best, least)
+        return _branch_and_bound(left, capacity, best, least)
+    while _used(best) > least:
+        better = _repacked(best, capacity)
+        if _used(better) == _used(best):
+            break
+        best = better
     return best
 
 
+def _repacked(best: Patterns, capacity: int) -> Patterns:
+    """The packing with its most wasteful containers, of at most SEARCH_ITEMS items, searched anew."""
+    kept: Patterns = []
+    again: Patterns = []
+    room = SEARCH_ITEMS
+    for pattern, times in sorted(best, key=lambda p: sum(s * k for s, k in p[0].items())):
+        t = min(times, room // sum(pattern.values()))
+        room -= t * sum(pattern.values())
+        again += [(pattern, 1)] * t
+        kept += [(pattern, times - t)] * (t < times)
+    items: Counter = Counter()
+    for pattern, _ in again:
+        items.update(pattern)
+    return kept + _branch_and_bound(dict(items), capacity, again, lower_bound(items, capacity))
+
+
 def lower_bound(left: dict[int, int], capacity: int) -> int:
     """Containers that no packing can do without: by volume, and by items above half the capacity."""
     volume = sum(s * n for s, n in left.items())
@@ -94,21 +149,27 @@ def _used(patterns: Patterns) -> int:
     return sum(times for _, times in patterns)
 
 
-def complete_bins(counts: dict[int, int], capacity: int) -> Patterns:
-    """Fill containers one pattern at a time around the largest item left."""
+def complete_bins(counts: dict[int, int], capacity: int, most: int, exact: bool = True) -> Patterns | None:
+    """Fill containers one pattern at a time around the largest item left; None once more than
+    `most` containers are certain by volume."""
     left = dict(counts)
+    volume, used = sum(s * n for s, n in counts.items()), 0
     sizes = sorted(left, reverse=True)
     out: Patterns = []
     while sizes:
         largest = sizes[0]
         left[largest] -= 1
-        filling = best_filling(capacity - largest, sizes, left)
+        filling = best_filling(capacity - largest, sizes, left, exact)
         left[largest] += 1
         pattern = dict(Counter((largest, *filling)))
         times = min(left[s] // k for s, k in pattern.items())
         for s, k in pattern.items():
             left[s] -= k * times
         out.append((pattern, times))
+        used += times
+        volume -= times * sum(s * k for s, k in pattern.items())
+        if used + -(-volume // capacity) > most:
+            return None
         sizes = [s for s in sizes if left[s]]
     return out
 
