@@ -266,3 +266,9 @@ def test_packing_above_the_search_items_meets_a_tighter_count():
         used = {s: sum(p.get(s, 0) * t for p, t in out) for s in counts}
         assert used == counts and all(sum(s * k for s, k in p.items()) <= capacity for p, _ in out)
         assert sum(t for _, t in out) <= before - (capacity == 2000)
+
+
+@pytest.mark.parametrize("at", ["@", " @ ", "[at]", "[ at ]", "(at)", "( at )", "{at}", "{ at }", " {at} ", "<at>", " <AT> "])
+def test_every_disguise_of_at_is_searched(at):
+    text = f"write to ann{at}mail.test soon"
+    assert [text[a:b] for a, b, kind in personal._spans(text) if kind == "email"] == [f"ann{at}mail.test"]

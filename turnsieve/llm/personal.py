@@ -64,7 +64,8 @@ def plain_text(text: str) -> tuple[str, list[int] | None]:
 
 
 # --- email -------------------------------------------------------------------------------------
-_AT = r"(?:\s?@\s?|\s?\[\s?at\s?\]\s?|\s?\(\s?at\s?\)\s?|\s?\{\s?at\s?\}\s?|\s?<at>\s?)"
+_AT_SIGN = r"(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<at>)"
+_AT = rf"\s?{_AT_SIGN}\s?"
 _DOT = r"(?:\.|\s?\[\s?dot\s?\]\s?|\s?\(\s?dot\s?\)\s?|\s?\{\s?dot\s?\}\s?|\sdot\s)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])(?!{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))"
@@ -72,7 +73,8 @@ _SPOKEN = rf"{_LABEL}(?:\sdot\s{_LABEL})*?\sdot\s[A-Za-z]{{2,24}}(?![A-Za-z0-9-]
 _PLAIN_LOCAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*"
 EMAIL = re.compile(rf"{_PLAIN_LOCAL}(?:{_AT}{_DOMAIN}|\sat\s(?:{_SPOKEN}|{_LABEL}(?:\.{_LABEL})*\.(?:example|invalid|test|com|org|net|edu|gov|info|io|co|de|es|fr|kr|cn|uk)(?![A-Za-z0-9-])))", re.I)
 
-_AT_HOST = re.compile(r"\sat [a-z0-9-]+\.[a-z]")
+#: What every text with an address holds: a sign of _AT, or a spoken at with a dot, spoken or before a host's next label.
+_MAY_BE_EMAIL = re.compile(rf"{_AT_SIGN}|\sdot\s|\sat\s{_LABEL}\.", re.I)
 
 # --- identity numbers --------------------------------------------------------------------------
 # National shapes of passports, licences, tax and insurance numbers.
@@ -166,7 +168,7 @@ def _spans(plain: str) -> list[tuple[int, int, str]]:
             taken.append((a, b))
 
     low = plain.lower()
-    if "@" in plain or " dot " in low or "[at" in low or "(at" in low or "[ at" in low or "( at" in low or _AT_HOST.search(low):
+    if _MAY_BE_EMAIL.search(plain):
         for m in EMAIL.finditer(plain):
             add(*m.span(), "email")
     for m in ID_NUMBER.finditer(plain):
