@@ -33,7 +33,7 @@ def clean_turns(turns: DataFrame) -> DataFrame:
 def with_length(turns: DataFrame) -> DataFrame:
     """Turns beside their dialogue's number of turns `n`."""
     lengths = turns.groupBy("dialogue_id").agg(F.count("*").alias("n"))
-    return hot_join(turns, lengths, "dialogue_id")
+    return hot_join(turns, lengths, "dialogue_id", counts=lengths)
 
 
 def budget(ratio: float) -> Column:
@@ -75,15 +75,16 @@ def positional(turns: DataFrame, ratio: float) -> DataFrame:
     return rows.select(F.explode(flags).alias("method"), "dialogue_id", "turn_id")
 
 
-def ranked(df: DataFrame, key: str, order: list[str], name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], name: str = "rank", hot: list | None = None) -> DataFrame:
     """Number the rows of each key from 1 in the order of the columns `order` (all ascending).
 
     Ordinary keys use a window. Rows of hot keys are range-partitioned by their order instead,
     counted by partition, and numbered by the partition's offset plus a count inside it, so that
-    no key is sorted in one task. Order columns must make rows distinct.
+    no key is sorted in one task. Order columns must make rows distinct. `hot` saves looking for the
+    hot keys where the caller has found them in a smaller plan.
     """
     window = Window.partitionBy(key).orderBy(*order)
-    hot = hot_keys(df, key)
+    hot = hot_keys(df, key) if hot is None else hot
     if not hot:
         return df.withColumn(name, F.row_number().over(window))
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
@@ -108,7 +109,7 @@ def lagged(df: DataFrame, key: str, order: list[str], column: str, name: str) ->
     if not hot:
         return df.withColumn(name, plain)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    numbered = checkpointed(ranked(df.where(is_hot), key, order, "_no"))
+    numbered = checkpointed(ranked(df.where(is_hot), key, order, "_no", hot))
     before = numbered.select(key, (F.col("_no") + 1).alias("_no"), F.col(column).alias(name))
     warm = numbered.join(before, [key, "_no"], "left").drop("_no")
     cold = df.where(~is_hot).withColumn(name, plain)
@@ -119,7 +120,7 @@ def top_by(turns: DataFrame, order: list[Column], ratio: float, floor: bool = Fa
     """The best `k` turns of each dialogue by the given order, ties to the earlier turn."""
     keys = [f"_o{j}" for j in range(len(order))]
     rows = with_length(turns).withColumn("k", budget_floor(ratio) if floor else budget(ratio)).withColumns(dict(zip(keys, order)))
-    return ranked(rows, "dialogue_id", [*keys, "turn_id"]).where("rank <= k").select("dialogue_id", "turn_id")
+    return ranked(rows, "dialogue_id", [*keys, "turn_id"], hot=hot_keys(turns, "dialogue_id")).where("rank <= k").select("dialogue_id", "turn_id")
 
 
 def hash_random(turns: DataFrame, ratio: float, seed: int) -> DataFrame:

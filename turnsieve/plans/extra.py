@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import exact
 from ..functions.strings import normalize_value, occurs_bounded
 from ..operators import score, select
-from ..runtime import table
+from ..runtime import shared_folder, table
 from ..sources import files
 from .selection import DATASET, TURNS, bounded, nv, turns_of
-from .tables import _folder
 
 
 def sel_pooled_scores(spark, d):
@@ -74,7 +73,7 @@ def document_shapes(spark, d):
     entry = F.struct("dialogue_id", "slot", "new_value")
     shape = F.pmod(F.crc32("dialogue_id"), F.lit(3))
     text = F.when(shape == 0, F.to_json(F.array(entry))).when(shape == 1, F.to_json(F.struct(F.array(entry).alias("dialogues")))).otherwise(F.to_json(F.map_from_arrays(F.array("dialogue_id"), F.array(entry))))
-    path = _folder(spark, "shapes")
+    path = shared_folder(spark, "shapes")
     table(spark, d, "update_labels").select(text.alias("value")).write.text(path)
     lines = spark.read.text(path).select(F.lit("lines").alias("file_name"), F.col("value").alias("document"))
     found = files.dialogues_of(lines, "struct<dialogue_id:string,slot:string,new_value:string>")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import readers, strings
 from ..functions.text import dataset_name
 from ..operators import joins, select, stats, validate
-from ..runtime import table
+from ..runtime import hot_join, shared_folder, table
 from ..sources import files
 from ..streaming import resumable
 from .selection import DATASET, SPEAKER, nv
@@ -138,8 +136,6 @@ def keep_list(spark, d):
 def labelled_probes(spark, d):
     """Probes beside their dialogue's label: method fan-out over labels, counted by slot."""
     labels = table(spark, d, "update_labels").select("dialogue_id", F.col("slot").alias("label_slot")).dropDuplicates(["dialogue_id"])
-    from ..runtime import hot_join
-
     rows = hot_join(table(spark, d, "probes").select("dialogue_id", "method"), labels, "dialogue_id").where("label_slot is not null")
     return rows.groupBy("label_slot", "method").agg(F.count("*").alias("n"))
 
@@ -197,7 +193,7 @@ def embedding_cosine(spark, d):
 def jsonl_roundtrip(spark, d):
     """Labels written as JSON lines and read under their schema again."""
     rows = table(spark, d, "update_labels").select("dialogue_id", "slot", "old_value", "new_value", "n_turns")
-    path = _folder(spark, "jsonl")
+    path = shared_folder(spark, "jsonl")
     files.write_jsonl(rows, path)
     return files.read_jsonl(spark, path, "dialogue_id string, slot string, old_value string, new_value string, n_turns int")
 
@@ -205,7 +201,7 @@ def jsonl_roundtrip(spark, d):
 def append_resume(spark, d):
     """An interrupted append run again: every key once in the sink."""
     rows = table(spark, d, "update_labels").select("dialogue_id", "slot").dropDuplicates(["dialogue_id"])
-    path, schema = _folder(spark, "append"), "dialogue_id string, slot string"
+    path, schema = shared_folder(spark, "append"), "dialogue_id string, slot string"
     files.append_new(rows.where(F.crc32("dialogue_id") % 2 == 0), path, "dialogue_id", schema)
     files.append_new(rows, path, "dialogue_id", schema)
     return spark.read.schema(schema).parquet(path)
@@ -225,12 +221,12 @@ def stream_resumable_scores(spark, d):
     """Answers scored as a stream of files, each key once, equal to the batch result."""
     source = table(spark, d, "reused_raw_answers")
     stream = resumable.file_stream(spark, f"{d}/reused_raw_answers.parquet", source.schema)
-    sink = _folder(spark, "stream")
+    sink = shared_folder(spark, "stream")
 
     def score(batch):
         return batch.select("answer_no", F.coalesce(F.length("reader_output_text"), F.lit(0)).alias("n_chars"), F.col("error").isNotNull().cast("int").alias("err"))
 
-    resumable.run_to_end(stream, score, "answer_no", sink, _folder(spark, "marks"))
+    resumable.run_to_end(stream, score, "answer_no", sink, shared_folder(spark, "marks"))
     return spark.read.option("recursiveFileLookup", True).schema("answer_no bigint, n_chars int, err int").parquet(sink)
 
 
@@ -238,9 +234,9 @@ def stream_latest_values(spark, d):
     """Latest event value by user and day from a stream with a watermark, run to its end."""
     source = table(spark, d, "events").schema
     stream = resumable.file_stream(spark, f"{d}/events.parquet", source)
-    name = "latest_" + _folder(spark, "m").rsplit("/", 1)[-1].replace("-", "_")
+    name = "latest_" + shared_folder(spark, "m").rsplit("/", 1)[-1].replace("-", "_")
     out = resumable.latest_values(stream, "user_id", "ts", "value", "1 hour", "1 day")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _folder(spark, "marks")).start().awaitTermination()
+    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "marks")).start().awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", F.round("value", 4).alias("value"), "n")
 
 
@@ -274,14 +270,6 @@ def dataset_names(spark, d):
     return table(spark, d, "probes").groupBy(dataset_name("dataset").alias("dataset")).agg(F.count("*").alias("n"))
 
 
-def _folder(spark, kind: str) -> str:
-    """A fresh folder below the one all executors share; a local one only where none is named."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="turnsieve-")
-    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 _ALL = (
     normalize_values, alias_equivalence, alias_spellings, normalize_task, humanize_slots, content_tokens, char_cap, prompt_parts, question_labels, replace_context, left_truncation, hash_ids, answer_variants, numeric_equivalence,
     split_answers, speaker_labels, word_label_means, prompt_render, resume_anti_join, request_dedup_expand, request_fingerprints, merge_replace, strict_join_violations, coverage_split, keep_list, labelled_probes, complete_conditions,
