@@ -23,6 +23,23 @@ def test_answer_defects(text, want):
     assert pairs.classify(text, PROMPT) == want
 
 
+UNSEEN = [
+    ("I'm afraid that's not something I can do.", "refusal"), ("I apologize, but helping with that would be irresponsible.", "refusal"), ("As an AI, I do not have the ability to respond to that.", "refusal"), ("Je suis désolé, je ne peux pas répondre à cette question.", "refusal"), ("お答えできません。", "refusal"),
+    ("Пользователь хочет суп на ужин.", "other_language"), ("Secondo la conversazione, l'utente vuole la pizza alla fine.", "other_language"), ("De acordo com a conversa, o usuário quer uma mesa para o jantar.", "other_language"), ("会話によると、ユーザーはフォーを選びました。", "other_language"), ("Η απάντηση είναι φο και ρύζι", "other_language"),
+    ("Pho was picked because the", "truncated"), ("Plaza de la Reina", None), ("The user wants Plaza de la Reina.", None), ("Кафе Лесна", None), ("I can't find it", None), ("Le Pré Orvé", None),
+]
+
+
+@pytest.mark.parametrize("text,want", UNSEEN)
+def test_answers_no_list_was_written_from(text, want):
+    assert pairs.classify(text, PROMPT) == want
+
+
+def test_sentences_without_an_end_by_their_source():
+    assert pairs.classify("Pho is what they settled on at last", PROMPT, True) == "truncated" and pairs.classify("Pho is what they settled on at last", PROMPT, False) is None
+    assert pairs.classify("find somewhere to eat; food: pho", PROMPT, True) is None
+
+
 @pytest.mark.parametrize("prompt", [None, "", "no question"])
 def test_answers_without_a_prompt(prompt):
     assert pairs.classify("pho", prompt) is None and pairs.classify(None, prompt) == "empty"
@@ -59,22 +76,31 @@ WHOLE = "Sure, that works. See you at 10:30."
 
 
 @pytest.mark.parametrize(
-    "tail,line,want",
+    "tail,want",
+    [(WHOLE, False), (WHOLE + " \n", False), ("Sure, that works.", True), (WHOLE[:-1], False), ("Sure, th", True), ("Sure, th…", True), ("Sure, th [...]", True), ("Sure, t�", True), (WHOLE + "…", False), ("", True)],
+)
+def test_cut_contexts(tail, want):
+    assert cuts._cut(tail, automata.open_text(tail), WHOLE) is want
+
+
+@pytest.mark.parametrize(
+    "text,left",
     [
-        (WHOLE, "x", False), (WHOLE + " \n", "", False), ("Sure, that works.", "x", True), (WHOLE[:-1], "x", False), ("Sure, th", "x", True), ("Sure, th…", "x", True), ("Sure, th [...]", "x", True), ("Sure, t�", "x", True), (WHOLE + "…", "x", False),
-        (WHOLE + "\n[T1", "[T1", True), (WHOLE + "\n[T12] SYS [...]", "[T12] SYS [...]", True), (WHOLE + "\n[", "[", True), ("", "[T0] USER: ", True),
+        ("All (of it) “is” closed.", ""), ("It said \"yes.\"", ""), ("It said \"yes", "\"."), ("open (here", "(."), ("a 「word", "「."), ("see <b", "<."), ("see <b>bold</b>.", ""), ("path \\u00", "\\."), ("caf�", "�."), ("so th…", "…"), ("so th [...]", "…"), ("", ""), ("no end", "."),
+        ("don't stop.", ""), ("wrong ) closer.", ""), ("(" * 3, "(((."),
     ],
 )
-def test_cut_contexts(tail, line, want):
-    assert cuts._cut(tail, line, WHOLE) == want
+def test_open_text(text, left):
+    assert automata.open_text(text) == left
 
 
 def test_cuts_on_tables(spark):
     turns = spark.createDataFrame([("d", 0, WHOLE, None), ("d", 0, WHOLE, None), (None, None, None, None)], "dialogue_id string, turn_id int, text string, loaded_at timestamp")
     texts = [f"[T0] USER: {WHOLE}", "[T0] USER: Sure, th", None, "", "[T0] US", f"[T0] USER: {WHOLE}\n[T1", "[T9] USER: unknown", "x" * 60_000]
+    texts += [f"[T0] USER: {WHOLE}\n[T12] SYS [...]", f"[T0] USER: {WHOLE}\n[", "[T0] USER: ", "[T9] USER: open (bracket", "[T9] USER: Whole."]
     probes = spark.createDataFrame([(i, "r", "d" if i != 6 else None, "sgd", None, t, "c") for i, t in enumerate(texts)], PROBES)
     got = {r["row_id"] for r in cuts.cut_contexts(probes, turns).where("is_cut").collect()}
-    assert {1, 4, 5} <= got and not got & {0, 2, 3}
+    assert {1, 4, 5, 8, 9, 10, 11} <= got and not got & {0, 2, 3, 12}
     assert cuts.cut_contexts(probes.limit(0), turns.limit(0)).count() == 0
 
 

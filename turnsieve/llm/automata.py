@@ -105,6 +105,43 @@ def open_structure(text: str) -> str:
     return "".join(stack) + '"' * inside + "\\" * escaped
 
 
+#: Quotes and brackets of running text with their closers; an apostrophe inside a word is none.
+_PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "{": "}"}
+_CLOSERS = frozenset("".join(_PAIRS.values()))
+
+
+def open_text(text: str) -> str:
+    """What running text leaves open at its end, from a stack over quotes, brackets, tags and escapes.
+
+    Signs of the result: an unclosed opener; `<` for markup whose tag breaks off; `\\` for an escape
+    that breaks off; REPLACEMENT for a broken multibyte sequence; `…` for a mark of omission; `.` for
+    a missing terminator. An empty result is a complete text. A closer that fits nothing is ignored.
+    """
+    stack: list[str] = []
+    for at, ch in enumerate(text):
+        if stack and ch in _PAIRS.get(stack[-1], stack[-1]):
+            stack.pop()
+        elif ch in _PAIRS:
+            stack.append(ch)
+        elif ch == '"':
+            stack.append(ch)
+        elif ch == "<" and text[at + 1 : at + 2].isalpha() or ch == "<" and text[at + 1 : at + 2] == "/":
+            stack.append(ch)
+        elif ch == ">" and "<" in stack:
+            del stack[stack.index("<") :]
+    shown = visible(text)
+    left = "".join(stack)
+    if re.search(r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|&#?\w{0,7}$|%[0-9A-Fa-f]?$(?<!\d%)", shown):
+        left += "\\"
+    if shown.endswith(REPLACEMENT):
+        left += REPLACEMENT
+    if OMISSION.search(shown):
+        left += "…"
+    elif shown and shown[-1] not in TERMINATORS and not (shown[-1] in "\"'”’」』)）]】»" and shown[-2:-1] in TERMINATORS):
+        left += "."
+    return left
+
+
 def open_fence(text: str) -> bool:
     """True if a code fence is opened and its closing fence is missing or incomplete."""
     shown = visible(text)

@@ -1,5 +1,7 @@
 """Problem 1: broken prompt and response pairs; the response side also serves problem 4.
 
+The closing question of a prompt has a suffix automaton that measures how much of an answer is copied;
+a stack over delimiters finds what is left open; refusals and languages are voted on in `votes`.
 Each answer gets at most one defect, tested in this order: `empty`, structural truncation,
 `copied_question`, `refusal`, `other_language`, `truncated` prose or support.
 
@@ -18,21 +20,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import hot_join, map_rows
 from .automata import INVISIBLE, OMISSION, REPLACEMENT, TERMINATORS, SuffixAutomaton, fold, open_fence, open_structure, visible
+from .votes import DANGLING, FINITE, declines, language, other_language
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
 
-# Phrases that decline, by language, without case.
-REFUSALS = {
-    "en": (
-        "i am not able to help with this request", "i'm not able to help", "i am unable to", "i'm unable to", "i cannot comply", "i can't comply", "i cannot help with",
-        "i must decline", "i have to decline", "i'd rather leave this one to a human agent", "requests of this kind are something i have to skip",
-        "i can't answer questions about", "i cannot answer questions about", "i can't answer this", "i cannot answer this", "let us talk about a different topic", "let's talk about a different topic",
-        "my guidelines keep me from", "goes against what i am allowed to", "lies outside of what i discuss", "i won't provide", "i will not provide", "i can't provide", "i cannot provide",
-        "it would not be appropriate for me", "it wouldn't be appropriate for me", "i can't assist", "i cannot assist", "i refuse to", "i can't discuss", "i cannot discuss", "i won't answer", "i will not answer",
-    ),
-    "zh": ("我无法回答", "无法回答这个问题", "我不能提供", "不能提供相关信息", "没有办法协助", "无法协助", "请人工客服处理", "我只能拒绝", "拒绝这一请求", "超出了我的回答范围", "我不便讨论", "我们换个话题", "我无法提供", "无法满足", "我不能回答", "不便回答"),
-    "ko": ("제공할 수 없습니다", "답변할 수 없습니다", "답변드릴 수 없습니다", "도와드리기 어렵습니다", "도와드릴 수 없습니다", "다룰 수 있는 범위를 벗어납니다", "상담원에게 문의하시는 편이 좋겠습니다", "응답할 수 없습니다", "거절할 수밖에", "다른 주제로 이야기", "다른 이야기를 하", "말씀드리기 곤란", "논의할 수 없습니다", "허용되지 않습니다", "지침상", "따를 수 없습니다", "건너뛰"),
-}
 # Openings of answer sentences; an answer that opens so and has no end was cut.
 OPENINGS = (
     "according to", "based on", "it should be", "the user", "the answer", "in the end", "in the last", "here is the answer", "they finally", "after all changes", "i'm sorry", "i apologise", "unfortunately", "regretfully", "apologies", "thanks for asking", "as a language assistant",
@@ -40,25 +31,16 @@ OPENINGS = (
     "대화에 따르면", "사용자는", "사용자가", "최종적으로", "마지막에", "답은", "죄송합니다", "안타깝지만", "유감스럽게도",
     "der nutzer", "die antwort", "laut gespräch", "am ende", "zuletzt", "gemeint ist", "el usuario", "la respuesta", "según la", "al final", "l'utilisateur", "la réponse", "d'après", "à la fin", "finalement",
 )
-# Frequent function words by language.
-STOPWORDS = {
-    "en": "the is are was were as in on at of to a an and or by for with that this it they user answer says said should be based according excerpt conversation settled wants talk person chose last turns end near several people stated finally dropped earlier wish asks need room they",
-    "de": "der die das den dem ein eine einen einem einer und ist war am im in mit für von zu zum zur auf nicht sich hat haben möchte wünscht sucht man laut ende nahe mehrere so es steht lautet gemeint schluss zuletzt person nutzer antwort gespräch entschieden norden stadt",
-    "es": "el la los las un una unos y es en de del al con para por que se su según busca quiere pide usuario final respuesta diálogo conversación eligió terminó pidiendo cerca varias personas último mensaje",
-    "fr": "le la les un une des du de et est en au aux avec pour par que qui se sa son on il elle l'utilisateur d'après l'échange cherche souhaite demande fin réponse dialogue choisi été retenu près plusieurs personnes c'est où",
-}
-_WORDS = {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_HAN, _HANGUL, _LATIN = re.compile(r"[㐀-鿿豈-﫿]"), re.compile(r"[ᄀ-ᇿ가-힣]"), re.compile(r"[A-Za-zÀ-ɏ]")
-_KANA = re.compile(r"[぀-ヿ]")
-_ZH_WORDS = re.compile(r"根据|用户|最后|需要|决定|答案|确定|选择|想要|[的了在是]|一[间张个]")
-_KO_ENDS = re.compile(r"(?:[은는이가을를의]|에서|으로|에게|입니다|합니다|습니다|따르면|위해)(?=[\s.,]|$)")
 _SHELL = re.compile(rf"[\s{INVISIBLE}`{{}}\[\]()\"'“”,.:;*_~#<>/\\|-]+")
 _QUESTION = re.compile(r"\n\n(?=[^\n]*(?:\n[^\n]*)?\s*$)")
 _LABEL = re.compile(r"^\s*(?:question|frage|pregunta|q|问题|질문)\s*[:：]\s*", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 #: Share of an answer that must be covered by the question's text, and share of the question in it.
 COPIED, OF_QUESTION, LEAST_MATCH = 0.9, 0.6, 4
+#: Words of a sentence; share of a source's sentences that must have a terminator for a missing one to
+#: tell anything; sentences a source needs, and number of sources, the largest, that have a baseline of
+#: their own (all others share one).
+LEAST_SENTENCE, BASELINE, LEAST_SENTENCES, OWN_BASELINE = 4, 0.8, 30, 1000
 
 
 class Question:
@@ -73,25 +55,6 @@ class Question:
         self.lang = language(tail)
 
 
-def language(text: str) -> str:
-    """Language of a prompt by script, Latin by the most frequent function words."""
-    han, hangul, kana, latin = (len(x.findall(text)) for x in (_HAN, _HANGUL, _KANA, _LATIN))
-    if hangul and hangul >= max(han, 1) and hangul * 3 > latin:
-        return "ko"
-    if kana * 5 > han and kana:
-        return "ja"
-    if han * 4 > latin:
-        return "zh"
-    votes = latin_votes(text)
-    best = max(votes, key=lambda k: (votes[k], k == "en"))
-    return best if votes[best] else "en"
-
-
-def latin_votes(text: str) -> dict[str, int]:
-    words = [w.replace("’", "'") for w in _WORD.findall(text.lower())]
-    return {k: sum(w in v for w in words) for k, v in _WORDS.items()}
-
-
 @lru_cache(4096)
 def question_of(tail: str) -> Question:
     return Question(tail)
@@ -112,36 +75,26 @@ def is_copied(text: str, q: Question) -> bool:
     return covered >= COPIED * len(shown) and longest >= OF_QUESTION * q.size
 
 
-def is_refusal(text: str) -> bool:
-    low = text.lower().replace("’", "'")
-    return any(p in low for ps in REFUSALS.values() for p in ps)
+def is_refusal(text: str, context: str) -> bool:
+    """True if a sentence of the answer declines and is no quotation from the context."""
+    said = declines(text)
+    return said is not None and said.strip() not in context
 
 
 def in_other_language(text: str, context: str, q: Question) -> bool:
-    """Vote of scripts and function words, without what the prompt itself holds."""
-    own = q.lang
+    """Vote of scripts and function words, without the question's own lines."""
     for line in q.lines:
         if line:
             text = text.replace(line, " ")
+    return other_language(text, context, q.lang)
 
-    def left(script: re.Pattern) -> str:
-        runs = re.findall(rf"{script.pattern}+", text)
-        return " ".join(r for r in runs if len(r) > 12 or r not in context)
-
-    if own != "ko" and len(left(_HANGUL).replace(" ", "")) >= 4 and _KO_ENDS.search(text):
-        return True
-    if own not in ("zh", "ja") and len(left(_HAN).replace(" ", "")) >= 4 and _ZH_WORDS.search(text):
-        return True
-    votes = latin_votes(text)
-    best = max(votes, key=votes.get)
-    if own in ("zh", "ko", "ja"):
-        mine, words = (_HANGUL, _KO_ENDS) if own == "ko" else (_HAN, _ZH_WORDS)
-        return votes[best] >= 2 and (len(_LATIN.findall(text)) > 2 * len(left(mine).replace(" ", "")) or not words.search(text))
-    return best != own and votes[best] >= 2 and votes[best] > votes.get(own, 0)
 
+def unfinished(text: str, context: str, strict: bool = False) -> bool:
+    """A prose answer that stops before its end; a bare value is complete as it is.
 
-def unfinished(text: str, context: str) -> bool:
-    """A prose answer that stops before its end; a bare value is complete as it is."""
+    `strict` says that answers of this source end in a terminator where they are sentences, so that a
+    sentence without one was cut.
+    """
     shown = visible(text)
     if shown.endswith(REPLACEMENT):
         return True
@@ -153,7 +106,12 @@ def unfinished(text: str, context: str) -> bool:
     parts = [x for x in _SENTENCE.split(shown) if x]
     if len(parts) > 1 and parts[-2][-1:] in ".。!！":
         return True
-    return _opens(parts[-1].lower())
+    if _opens(parts[-1].lower()):
+        return True
+    words = parts[-1].lower().split()
+    if len(words) < 3 or ";" in shown or shown in context:
+        return False
+    return words[-1] in DANGLING or strict and len(words) >= LEAST_SENTENCE and not FINITE.isdisjoint(words)
 
 
 def _opens(text: str) -> bool:
@@ -184,8 +142,8 @@ def _shell(text: str) -> bool:
     return _SHELL.sub("", re.sub(r"```\w*", "", text)).lower() in ("", "null", "none", "nil", "undefined", "nan")
 
 
-def classify(text: str | None, prompt: str | None) -> str | None:
-    """Defect of one answer, or None."""
+def classify(text: str | None, prompt: str | None, strict: bool = False) -> str | None:
+    """Defect of one answer, or None; `strict` as in `unfinished`."""
     if text is None or not visible(text):
         return "empty"
     shown = visible(text)
@@ -201,7 +159,7 @@ def classify(text: str | None, prompt: str | None) -> str | None:
         return "truncated"
     if _shell(shown):
         return "empty"
-    return _judge_prose(shown, context, q)
+    return _judge_prose(shown, context, q, strict)
 
 
 def _judge_object(shown: str, at: int, context: str, q: Question) -> str | None:
@@ -221,7 +179,7 @@ def _judge_object(shown: str, at: int, context: str, q: Question) -> str | None:
     quoted = support if isinstance(support, str) else ""
     if is_copied(said, q):
         return "copied_question"
-    if is_refusal(said) and said not in context:
+    if is_refusal(said, context):
         return "refusal"
     free = said + (" " + quoted if quoted and quoted not in context else "")
     if in_other_language(free, context, q):
@@ -235,14 +193,14 @@ def is_answer(shown: str) -> bool:
     return not _shell(shown)
 
 
-def _judge_prose(shown: str, context: str, q: Question) -> str | None:
+def _judge_prose(shown: str, context: str, q: Question, strict: bool) -> str | None:
     if is_copied(shown, q):
         return "copied_question"
-    if is_refusal(shown):
+    if is_refusal(shown, context):
         return "refusal"
     if in_other_language(shown, context, q):
         return "other_language"
-    return "truncated" if unfinished(shown, context) else None
+    return "truncated" if unfinished(shown, context, strict) else None
 
 
 def prompts_by_request(probes: DataFrame) -> DataFrame:
@@ -255,16 +213,35 @@ def prompts_by_request(probes: DataFrame) -> DataFrame:
     )
 
 
+def sentence_ends(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How answers of a source end where they are sentences: (source, strict) of the OWN_BASELINE
+    largest sources with enough sentences, and one row for all other sources.
+
+    `strict` holds where at least BASELINE of the sentences end in a terminator. Counted in the JVM in
+    one pass over the texts.
+    """
+    text = F.lower(F.coalesce("reader_output_text", F.lit("")))
+    words = "|".join(sorted(FINITE))
+    sentence = ~text.contains("{") & F.regexp_like(text, F.lit(rf"(?U)(?:^|\s)(?:{words})(?:\s|$)")) & (F.size(F.split(F.trim(text), " ")) >= LEAST_SENTENCE)
+    ended = F.regexp_like(text, F.lit(rf"[{re.escape(TERMINATORS)}][\"'”’」』)）\]】]?\s*$"))
+    per = answers.groupBy("source").agg(F.count_if(sentence).alias("n"), F.count_if(sentence & ended).alias("ended"))
+    own = per.where(F.col("n") >= LEAST_SENTENCES).orderBy(F.col("n").desc(), "source").limit(OWN_BASELINE).select("source", (F.col("ended") >= BASELINE * F.col("n")).alias("strict"))
+    return own, per.agg(F.coalesce(F.sum("ended") >= BASELINE * F.sum("n"), F.lit(False)).alias("strict"))
+
+
 def judge_answers(answers: DataFrame, probes: DataFrame) -> DataFrame:
     """Every answer with its defect or null: answer_no bigint, source string, defect string."""
+    own, rest = sentence_ends(answers)
     rows = answers.select("answer_no", "id", "source", F.col("reader_output_text").alias("text"))
-    joined = hot_join(rows, prompts_by_request(probes), "id").select("answer_no", "source", "text", "prompt")
+    joined = hot_join(rows, prompts_by_request(probes), "id")
+    marked = joined.join(F.broadcast(own.withColumnRenamed("source", "_of")), F.col("source").eqNullSafe(F.col("_of")), "left")
+    ready = marked.select("answer_no", "source", "text", "prompt", F.coalesce("strict", rest.scalar()).alias("strict"))
 
     def judge(cols: list[list]) -> list[list]:
-        nos, sources, texts, prompts = cols
-        return [nos, sources, [classify(t, p) for t, p in zip(texts, prompts)]]
+        nos, sources, *given = cols
+        return [nos, sources, [classify(*x) for x in zip(*given)]]
 
-    return map_rows(joined, judge, "answer_no bigint, source string, defect string")
+    return map_rows(ready, judge, "answer_no bigint, source string, defect string")
 
 
 def broken_pairs(answers: DataFrame, probes: DataFrame) -> DataFrame:
