@@ -230,11 +230,34 @@ MENTIONS = [
 ]
 
 
-@pytest.mark.parametrize("text,want", MENTIONS)
+BEYOND_FRAMES = [
+    ("Please forward this to Maria Gonzalez in accounting.", [("name", "Maria Gonzalez")]), ("I spoke to Rahul Mehta on Tuesday.", [("name", "Rahul Mehta")]), ("Sincerely yours, John Smith", [("name", "John Smith")]), ("the Maria Gonzalez Hotel is open", []), ("We stayed at Daniel Grill.", []),
+    ("My passport 123456789 expired.", [("id_number", "123456789")]), ("my ssn is one two three four five six seven eight nine", [("id_number", "one two three four five six seven eight nine")]), ("+61 412 345 678", [("phone", "+61 412 345 678")]), ("Via Roma 12, Milano", [("address", "Via Roma 12")]),
+    ("ruf an: null eins fünf eins zwei drei vier fünf sechs", [("phone", "null eins fünf eins zwei drei vier fünf sechs")]), ("电话是一三八零零一三八零零零。", [("phone", "一三八零零一三八零零零")]), ("공일공 일이삼사 오육칠팔", [("phone", "공일공 일이삼사 오육칠팔")]), ("zéro six un deux trois quatre cinq six", [("phone", "zéro six un deux trois quatre cinq six")]),
+    ("escribe a ana arroba correo punto es por favor", [("email", "ana arroba correo punto es")]), ("ann{at}mail.test", [("email", "ann{at}mail.test")]), ("메일은 kim 골뱅이 naver 닷 com 입니다", [("email", "kim 골뱅이 naver 닷 com")]), ("The old one was 3 Tarn St. The new one", [("address", "3 Tarn St")]), ("I live at 3 Tarn Ave. in Selbury", [("address", "3 Tarn Ave.")]),
+]
+
+
+@pytest.mark.parametrize("text,want", MENTIONS + BEYOND_FRAMES)
 def test_mentions(text, want):
     assert [(k, text[a:b]) for k, a, b in personal.mentions(text)] == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["ann", " at ", " dot ", "lumo", "[at]", "@", ".", "test", " two", " five", " seven", ", "]), max_size=20).map("".join))
+def test_rewriting_keeps_offsets(text):
+    new, edits, _ = personal.undisguised(text)
+    at = 0
+    for a, b, x in edits:
+        assert at <= a < b and x
+        at = b
+    whole = personal.source_spans([(0, len(new), "x")], edits)[0] if new else (0, len(text), "x")
+    assert whole[:2] == (0, len(text))
+    for i, ch in enumerate(new):
+        a, b, _ = personal.source_spans([(i, i + 1, "x")], edits)[0]
+        assert a < b and (text[a:b] == ch or any((a, b) == e[:2] for e in edits))
+
+
 def test_redaction_leaves_the_rest():
     text = "​Cc: ann@lumo.test; the caller Ann Lee asked for a copy."
     assert personal.redact(text) == "​Cc: <email>; the caller <name> asked for a copy."

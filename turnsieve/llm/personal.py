@@ -1,9 +1,11 @@
 """Problem 8: personal information inside free text, found behind disguises and replaced.
 
 A text is first rewritten by offset-preserving transducers: wide and look-alike characters become
-plain ones, hidden characters vanish, and every character left remembers where it came from.
-Identifiers are then detected in the plain text, and their spans are mapped back to the source, so
-that positions count code points of the text as it is and everything else stays unchanged.
+plain ones, hidden characters vanish, `at` and `dot` in words or brackets become their signs, and
+numbers said digit by digit become figures, in six languages; every character left remembers where it
+came from. Identifiers are then detected in the rewritten text, and their spans are mapped back to the
+source, so that positions count code points of the text as it is and everything else stays unchanged.
+Names are found by the frames they stand in, and beyond those by candidates that are scored.
 
 Defined results for hard input: null, empty and blank texts have no mentions; texts are read whole;
 repeated texts are cases of their own; where mentions overlap the earlier kind in KINDS wins, then
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -63,18 +66,111 @@ def plain_text(text: str) -> tuple[str, list[int] | None]:
     return "".join(out).translate(_PLAIN), places
 
 
-# --- email -------------------------------------------------------------------------------------
-_AT_SIGN = r"(?:@|\[\s?at\s?\]|\(\s?at\s?\)|\{\s?at\s?\}|<at>)"
-_AT = rf"\s?{_AT_SIGN}\s?"
-_DOT = r"(?:\.|\s?\[\s?dot\s?\]\s?|\s?\(\s?dot\s?\)\s?|\s?\{\s?dot\s?\}\s?|\sdot\s)"
+# --- disguises: rewriting that keeps offsets ------------------------------------------------------
+_AT_WORDS = r"(?:at|ät|arroba|arobase|艾特|골뱅이)"
+_DOT_WORDS = r"(?:dot|punkt|punto|point|点|닷|점)"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_DOMAIN = rf"{_LABEL}(?:{_DOT}{_LABEL})*?{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-])(?!{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))"
-_SPOKEN = rf"{_LABEL}(?:\sdot\s{_LABEL})*?\sdot\s[A-Za-z]{{2,24}}(?![A-Za-z0-9-])(?!\sdot\s[A-Za-z])"
-_PLAIN_LOCAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*"
-EMAIL = re.compile(rf"{_PLAIN_LOCAL}(?:{_AT}{_DOMAIN}|\sat\s(?:{_SPOKEN}|{_LABEL}(?:\.{_LABEL})*\.(?:example|invalid|test|com|org|net|edu|gov|info|io|co|de|es|fr|kr|cn|uk)(?![A-Za-z0-9-])))", re.I)
+_TLDS = "example|invalid|test|com|org|net|edu|gov|info|io|co|de|es|fr|kr|cn|uk|it|pt|nl|eu"
+#: A sign or word for `@`: bracketed or plain signs anywhere, a bare word only before a host in words or with a known end.
+#: Both are matched on text in lower case.
+_AT = re.compile(rf"@|\[\s?{_AT_WORDS}\s?\]|\(\s?{_AT_WORDS}\s?\)|\{{\s?{_AT_WORDS}\s?\}}|<{_AT_WORDS}>|\s{_AT_WORDS}\s(?=[a-z0-9](?:[a-z0-9-]*\s{_DOT_WORDS}\s[a-z0-9]|[a-z0-9.-]*\.(?:{_TLDS})(?![a-z0-9-])))")
+_DOT = re.compile(rf"\.|\s?\[\s?{_DOT_WORDS}\s?\]\s?|\s?\(\s?{_DOT_WORDS}\s?\)\s?|\s?\{{\s?{_DOT_WORDS}\s?\}}\s?|\s{_DOT_WORDS}\s")
+_HOST = re.compile(_LABEL)
+_AT_SIGNS = ("@", "at]", "at )", "at)", "at }", "at}", "at ]", "<at>", " at ", "\nat ", " at\n", "ät", "arroba", "arobase", "艾特", "골뱅이")
+# Digits in words.
+DIGIT_WORDS = {w: str(d) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf") for d, w in enumerate(words.split())} | {"oh": "0", "nought": "0", "zwo": "2"}
+DIGIT_SIGNS = {c: str(d) for signs in ("零一二三四五六七八九", "〇幺两", "공일이삼사오육칠팔구", "영") for d, c in enumerate(signs)} | {"幺": "1", "两": "2", "〇": "0", "영": "0", "륙": "6"}
+_TIMES = {"double": 2, "triple": 3}
+_WORD_DIGIT = rf"(?:(?:double |triple )?(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}))"
+_SAID = re.compile(
+    rf"(?<![^\W_])(?:plus[ ,-]+)?{_WORD_DIGIT}(?:[ ,-]+{_WORD_DIGIT}){{6,14}}(?P<ext>,? (?:ext\.?|extension) (?:\d{{1,5}}|{_WORD_DIGIT}(?:[ -]{_WORD_DIGIT})*))?(?![^\W_])"
+    rf"|[零〇一二三四五六七八九幺两]{{7,15}}(?![零〇一二三四五六七八九幺两百千万])|(?<![가-힣])[공영일이삼사오육륙칠팔구](?:[ -]?[공영일이삼사오육륙칠팔구]){{6,14}}",
+    re.I,
+)
+_DIGIT_STEMS = tuple(w for w in (*DIGIT_WORDS, *_TIMES) if not any(o != w and o in w for o in (*DIGIT_WORDS, *_TIMES)))
+_SAID_SIGNS = re.compile(r"[零〇一二三四五六七八九幺两]{7}|(?:[공영일이삼사오육륙칠팔구][ -]?){7}")
+
+
+def _says_digits(low: str) -> bool:
+    """Whether a text may hold seven digits in words: it then has seven words for digits or repetition."""
+    return sum(map(low.count, _DIGIT_STEMS)) >= 7 or not low.isascii() and _SAID_SIGNS.search(low) is not None
+
+
+def undisguised(plain: str) -> tuple[str, list[tuple[int, int, str]], set[int]]:
+    """The text with signs for spoken `at` and `dot` and figures for spoken digits: new text, the edits
+    (start, end, what stands there now) in order, and the places of edits that are whole numbers."""
+    edits: list[tuple[int, int, str]] = []
+    low = plain.lower()
+    if len(low) != len(plain):  # a few capitals have longer small forms; offsets must stay
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
+    if any(w in low for w in _AT_SIGNS):
+        for at in _AT.finditer(low):
+            a, i = at.span()
+            a -= a > 0 and low[a - 1].isspace() and not low[a].isspace()
+            i += i < len(low) and low[i].isspace() and not low[i - 1].isspace()
+            made, ends = [(a, i, "@")], 0
+            while label := _HOST.match(low, i):
+                dot = _DOT.match(low, label.end())
+                if not dot or not _HOST.match(low, dot.end()):
+                    break
+                made.append((dot.start(), dot.end(), "."))
+                i, ends = dot.end(), ends + 1
+            if ends and (not edits or edits[-1][1] <= a):
+                edits += [x for x in made if plain[x[0] : x[1]] != x[2]]
+    said: set[int] = set()
+    if _says_digits(low):
+        for m in _SAID.finditer(plain):
+            if not any(a < m.end() and m.start() < b for a, b, _ in edits):
+                edits.append((*m.span(), _figures(m[0][: m.start("ext") - m.start()] if m["ext"] else m[0])))
+                said.add(m.start())
+    if not edits:
+        return plain, edits, said
+    edits.sort()
+    out, at = [], 0
+    for a, b, x in edits:
+        out += [plain[at:a], x]
+        at = b
+    return "".join([*out, plain[at:]]), edits, said
+
+
+def _figures(words: str) -> str:
+    """Figures of a number said digit by digit."""
+    out, times = [], 1
+    for w in re.findall(r"[^\W\d_]+|\d", words.lower()):
+        if w in _TIMES:
+            times = _TIMES[w]
+        elif w == "plus":
+            out.append("+")
+        else:
+            out.append((DIGIT_WORDS.get(w) or "".join(DIGIT_SIGNS.get(c, c) for c in w)) * times)
+            times = 1
+    return "".join(out)
+
+
+def source_spans(found: list[tuple[int, int, str]], edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of the rewritten text as spans of the text before the edits; an edit is covered whole."""
+    if not edits:
+        return found
+    starts, shift = [], 0  # where each edit begins in the rewritten text
+    for a, b, x in edits:
+        starts.append(a + shift)
+        shift += len(x) - (b - a)
+
+    def back(p: int, end: bool) -> int:
+        i = bisect_right(starts, p - end) - 1
+        if i < 0:
+            return p
+        a, b, x = edits[i]
+        if p - starts[i] < len(x) + end:
+            return b if end else a
+        return b + p - starts[i] - len(x)
+
+    return [(back(a, False), back(b, True), k) for a, b, k in found]
 
-#: What every text with an address holds: a sign of _AT, or a spoken at with a dot, spoken or before a host's next label.
-_MAY_BE_EMAIL = re.compile(rf"{_AT_SIGN}|\sdot\s|\sat\s{_LABEL}\.", re.I)
+
+# --- email -------------------------------------------------------------------------------------
+_DOMAIN = rf"{_LABEL}(?:\.{_LABEL})*?\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-])(?!\.[A-Za-z]{{2,24}}(?![A-Za-z0-9-]))"
+EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*@{_DOMAIN}", re.I)
 
 # --- identity numbers --------------------------------------------------------------------------
 # National shapes of passports, licences, tax and insurance numbers.
@@ -86,7 +182,14 @@ _ID_SHAPES = (
     r"\d{2} \d{3} \d{3} \d{3}", r"\d{8}-?[A-Z]", r"[XYZ]-?\d{7}-?[A-Z]",
     r"\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}",
 )
-ID_NUMBER = re.compile(r"(?<![A-Za-z0-9./_+-])(?<!\d )(?:" + "|".join(_ID_SHAPES) + r")(?![A-Za-z0-9/_])(?!-\d)(?! \d{2,}\b(?!:))")
+_DIGITS, _LETTERS_BEFORE = re.compile(r"\d+"), re.compile(r"(?:[XYZ]-|[A-Z]{2} ?|[A-Z])$")
+ID_NUMBER = re.compile(r"(?:" + "|".join(_ID_SHAPES) + r")(?![A-Za-z0-9/_])(?!-\d)(?! \d{2,}\b(?!:))")
+# What an official number of a person is called.
+_ID_LABEL = re.compile(
+    r"(?:\b(?:passport|driv(?:er'?s?|ing) licen[cs]e|licen[cs]e|national id|identity (?:card|number)|id (?:number|card|no)|ssn|social (?:security|insurance)|national insurance|tax (?:id|number|identification)|reisepass|personalausweis|ausweis\w*|führerschein\w*|steuer-?id\w*|steuernummer|sozialversicherung\w*|dni|nie|nif|pasaporte|seguridad social|permiso de conducir|passeport|permis de conduire|carte d'identité|sécurité sociale|numéro fiscal)\b|护照|身份证|驾照|驾驶证|社保|税号|여권|주민등록|운전면허)(?:[ ,:：#.]|是|号|码|번호|는|은|number|card|no|num[eé]ro|nummer|is|it|ist|lautet|es|est|de|du|n[º°]){0,8}$",
+    re.I,
+)
+_ID_TOKEN = re.compile(r"[A-Z]{0,3}\d(?:[A-Z0-9]|[ -](?=[A-Z]?\d)){4,19}(?![A-Za-z0-9])")
 
 # --- phones ------------------------------------------------------------------------------------
 _EXT = r"(?:,? ?(?:ext\.?|extension|x|#|Durchwahl|Dw\.?|分机|内线|내선) ?\d{1,5})?"
@@ -99,32 +202,35 @@ _PHONE_SHAPES = (
     rf"\+33 ?(?:\(0\))?\d(?:[ .]?\d{{2}}){{4}}{_EXT}", rf"\d{{2}}(?:[ .]\d{{2}}){{4}}{_EXT}",
     rf"\+86[ -]?\d{{3}}[ -]?\d{{4}}[ -]?\d{{4}}{_EXT}", r"\d{11}", rf"\d{{3}}-\d{{4}}-\d{{4}}{_EXT}", rf"\(0\d{{2,3}}\) ?\d{{7,8}}{_EXT}", r"0\d{2,3}-\d{7,8}",
     rf"\+82[ -]?\d{{1,2}}[ -]?\d{{3,4}}[ -]?\d{{4}}{_EXT}", rf"\d{{3}} \d{{4}} \d{{4}}{_EXT}",
+    rf"\+(?!(?:1|33|34|44|49|82|86)(?!\d))[1-9]\d{{0,2}}(?:[ .-]?\(?\d{{1,4}}\)?){{2,5}}\d{{2}}{_EXT}",
 )
-PHONE = re.compile(r"(?<![A-Za-z0-9./_+#-])(?<!\d )(?<!\d,)(?:" + "|".join(_PHONE_SHAPES) + r")(?![A-Za-z0-9/_])(?!-\d)")
-_DIGIT = r"(?:zero|oh|nought|one|two|three|four|five|six|seven|eight|nine|(?:double|triple) (?:zero|oh|one|two|three|four|five|six|seven|eight|nine))"
-SPOKEN_PHONE = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?{_DIGIT}(?:[ ,-]+{_DIGIT}){{6,14}}(?:,? (?:ext\.?|extension) (?:\d{{1,5}}|{_DIGIT}(?:[ -]{_DIGIT})*))?(?![A-Za-z])", re.I)
-_DIGIT_WORDS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "one one", "oh oh", "double", "triple")
+PHONE = re.compile(r"(?:" + "|".join(_PHONE_SHAPES) + r")(?![A-Za-z0-9/_])(?!-\d)")
 #: What stands before a number that is no telephone or identity number.
 _OTHER_NUMBER = re.compile(r"(?:tracking (?:code|number)(?: is)?|reference(?: number)?(?: is)?|order(?: number)?|invoice|run|template|单号|参考号是?|订单|编号|Sendungsnummer(?: lautet)?|Vorgangsnummer lautet|localizador es|seguimiento es|référence est|suivi est|예약 번호는|송장 번호는|운송장 번호는)[ :：#]*$", re.I)
 
 # --- addresses ---------------------------------------------------------------------------------
 _UP = r"[A-ZÀ-Þ][\w'’À-ÿ-]*"
+#: A contraction such as St has no dot of its own at the end of a sentence, a cut word such as Ave. has.
 _ANY = r"[\w'’À-ÿ-]+"
-_EN_TYPE = r"(?:Street|Road|Avenue|Lane|Close|Crescent|Terrace|Row|Drive|Court|Place|Square|Gardens|Grove|Way|Walk|Mews|Boulevard|Hill|Park|Rise|View|St\b\.?|Rd\b\.?|Ave\b\.?|Ln\b\.?|Dr\b\.?|Ct\b\.?|Blvd\b\.?|Cres\b\.?|Terr?\b\.?)"
-_ADDRESS_EN = rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Za-z]?, )?\b\d{{1,4}}[A-Za-z]? (?:{_ANY} ){{1,3}}?{_EN_TYPE}(?![\w'-])(?:, (?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Za-z]?\b)?"
+_EN_TYPE = r"(?:Street|Road|Avenue|Lane|Close|Crescent|Terrace|Row|Drive|Court|Place|Square|Gardens|Grove|Way|Walk|Mews|Boulevard|Hill|Park|Rise|View|(?:St|Rd|Ln|Dr|Ct|Blvd)\b(?:\.(?=,|\.| (?-i:[a-z])))?|(?:Ave|Cres|Terr?)\b\.?)"
+_UNIT_BEFORE = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Za-z]?, $", re.I)
+_ADDRESS_EN = rf"\d{{1,4}}[A-Za-z]? (?:{_ANY} ){{1,3}}?{_EN_TYPE}(?![\w'-])(?:, (?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Za-z]?\b)?"
 _ADDRESS = (
     rf"(?i:{_ADDRESS_EN})",
     rf"(?:(?:Am|An der|An den|Auf der|Im|In der|Zum|Zur|Unter den) {_UP}(?: {_UP})?|[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|damm|steig|pfad)|[A-ZÄÖÜ][\wäöüß-]* (?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ring|Ufer|Damm)) \d{{1,4}} ?[a-z]?(?![\w:])",
     rf"(?i:(?:Calle|C/|Avda\.|Avenida|Av\.|Plaza|Pza\.|Paseo|Camino|Ronda|Travesía)) ?(?:(?:de|del|la|las|los|el) )*{_UP}(?: (?:(?:de|del|la|las|los|y) )*{_UP})*, ?(?:n\.?º ?)?\d{{1,4}}[A-Za-z]?(?:, \d{{1,2}}\.?[ºª°] ?(?:[A-Z]|izq\.?|dcha\.?)?(?![\w]))?",
-    rf"\b\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|allée|quai|cours|route|passage|square)(?: (?:de|du|des|la|le|les|l'|d'|aux?|à la))*(?: ?{_UP})(?: (?:(?:de|du|des|la|le|les) )*{_UP})*(?:, (?:appt?\.?|appartement|bât\.?|étage) ?\w+)?",
+    rf"\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|impasse|boulevard|bd|place|chemin|allée|quai|cours|route|passage|square)(?: (?:de|du|des|la|le|les|l'|d'|aux?|à la))*(?: ?{_UP})(?: (?:(?:de|du|des|la|le|les) )*{_UP})*(?:, (?:appt?\.?|appartement|bât\.?|étage) ?\w+)?",
+    rf"\b(?:Via|Viale|Piazza|Corso|Rua|Praça) (?:(?:di|del|della|dei|da|do|dos|de) )*{_UP}(?: {_UP})*,? (?:n\.? ?)?\d{{1,4}}[A-Za-z]?\b",
     r"[一-鿿]{2}(?:大道|路|街|巷|弄|胡同)(?:[东西南北]段)?\d{1,5}号(?:院)?(?:\d{1,3}(?:栋|幢|号楼))?(?:\d单元)?(?:\d{1,5}室)?",
     r"(?<![가-힣])[가-힣]{2,8}(?:대로|로|길) ?\d{1,4}(?:-\d{1,3})?(?:번길 ?\d{1,4})?(?:, ?(?:\d{1,4}동 ?)?\d{1,5}호)?",
 )
 #: Words of which one is in every address of a language, in lower case; none: always look.
 _ADDRESS_WORDS = (
     (), ("str", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "steig", "pfad", "am ", "an de", "auf der", "im ", "in der", "zum ", "zur ", "unter den"),
-    ("calle", "c/", "avda", "avenida", "av.", "plaza", "pza", "paseo", "camino", "ronda", "travesía"), ("rue", "avenue", "av.", "impasse", "boulevard", "bd", "place", "chemin", "allée", "quai", "cours", "route", "passage", "square"), ("号",), ("로", "길"),
+    ("calle", "c/", "avda", "avenida", "av.", "plaza", "pza", "paseo", "camino", "ronda", "travesía"), ("rue", "avenue", "av.", "impasse", "boulevard", "bd", "place", "chemin", "allée", "quai", "cours", "route", "passage", "square"), ("via ", "viale", "piazza", "corso", "rua ", "praça"), ("号",), ("로", "길"),
 )
+#: Addresses that begin with the house number are tried at numbers only.
+_NUMBER_FIRST = ("(?i:\\d{1,4}", "\\d{1,4}")
 ADDRESSES = [(words, re.compile(a)) for words, a in zip(_ADDRESS_WORDS, _ADDRESS)]
 
 # --- names -------------------------------------------------------------------------------------
@@ -155,43 +261,115 @@ _NAMES = [(words, re.compile(p, re.M)) for words, p in _NAME_FRAMES]
 _NOT_NAMES = frozenset("the a an this that it what which who there here everyone again still for and 您的 我的 客服 前台 司机 用户 고객 손님 담당자".split())
 
 
-def _spans(plain: str) -> list[tuple[int, int, str]]:
-    out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+# Given names that start a candidate, in lower case.
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew peter george edward brian kevin jason mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret emily emma olivia sophia anna anne laura julia kate alice grace lucy helen rachel hannah "
+    "hans klaus jürgen wolfgang stefan thomas andreas michael uwe lukas felix petra sabine monika claudia ursula heike katrin lena "
+    "josé juan antonio manuel francisco luis carlos javier miguel pedro pablo diego maría maria carmen ana isabel lucía elena sofía rosa marta "
+    "jean pierre michel philippe jacques louis françois antoine marie nathalie isabelle sophie camille chloé claire "
+    "marco giuseppe luca giovanni paolo giulia francesca chiara joão tiago ana beatriz ivan sergei dmitri olga natasha tatiana "
+    "ahmed mohamed muhammad ali omar hassan fatima aisha layla rahul amit raj sanjay vijay priya anita deepa sunita wei ming li hiroshi kenji yuki sakura minjun jisoo kwame chidi amara zara leila niamh siobhan owen".split()
+)
+_CAPITAL = r"[A-ZÀ-Þ][a-zß-ÿ]+(?:[-'’][A-ZÀ-Þ]?[a-zß-ÿ]+)*"
+_CANDIDATE = re.compile(rf"(?<![\w'’.-])(?P<name>(?P<given>{_CAPITAL})(?: [A-Z]\.)?(?: (?:de|da|van|von|der|del|la|bin|al))*(?: {_CAPITAL}){{1,2}})(?![\w'’-])")
+# What stands next to a person and what is no person.
+_BEFORE = re.compile(r"(?:\b(?:to|with|from|by|for|and|ask|call|contact|meet|met|tell|cc|attn|attention|signed|yours|regards|sincerely|thanks|colleague|manager|doctor|nurse|guest|driver|director|named|mit|von|an|bei|frag|con|de|para|avec|par|pour|chez)[:,]?\s+)$", re.I)
+_AFTER = re.compile(r"\s*(?:,? (?:who|said|says|asked|asks|called|wrote|writes|will|has|had|is|was|confirmed|told|works|from|in|at|on|and|sagte|hat|ist|dijo|ha|es|a dit|est)\b|[.,;!?)]|$|\n)")
+_NO_PERSON = frozenset("hotel house inn lodge grill kitchen bistro table café cafe restaurant station street road avenue lane square park museum theatre theater university school college hospital airport bank office bar pub club church bridge tower hall court gardens guest north south east west monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december street place floor room company group gmbh ltd inc corp city river lake mount".split())
+
+
+def _scored_names(plain: str):
+    """Names that stand in no known frame: runs of capitalised words, scored. A common given name counts
+    two, a word before or behind that goes with persons one each; three are enough. Runs that hold or
+    precede a word for a place or a firm, or follow `the`, are none."""
+    for m in _CANDIDATE.finditer(plain):
+        if m["given"].lower() not in GIVEN:
+            continue
+        words = {w.lower() for w in m["name"].split()}
+        follows = plain[m.end() + 1 : m.end() + 16].split(" ", 1)[0].lower().strip(".,;:!?")
+        if not words & _NO_PERSON and follows not in _NO_PERSON and not plain[: m.start()].lower().endswith("the ") and 2 + bool(_BEFORE.search(plain, max(0, m.start() - 20), m.start())) + bool(_AFTER.match(plain, m.end())) >= 3:
+            yield m.span("name")
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
 
-    def add(a: int, b: int, kind: str) -> None:
-        if free(a, b):
-            out.append((a, b, kind))
-            taken.append((a, b))
+class _Taken:
+    """Spans that do not overlap, in order."""
 
-    low = plain.lower()
-    if _MAY_BE_EMAIL.search(plain):
-        for m in EMAIL.finditer(plain):
-            add(*m.span(), "email")
-    for m in ID_NUMBER.finditer(plain):
-        if not _OTHER_NUMBER.search(plain, max(0, m.start() - 40), m.start()):
-            add(*m.span(), "id_number")
-    for m in PHONE.finditer(plain):
-        if not _OTHER_NUMBER.search(plain, max(0, m.start() - 40), m.start()):
-            add(*m.span(), "phone")
-    if any(w in low for w in _DIGIT_WORDS):
-        for m in SPOKEN_PHONE.finditer(plain):
-            add(*m.span(), "phone")
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.spans: list[tuple[int, int, str]] = []
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        at = bisect_left(self.starts, b)
+        if at == 0 or self.spans[at - 1][1] <= a:
+            self.starts.insert(at, a)
+            self.spans.insert(at, (a, b, kind))
+
+
+def _number_begins(text: str, at: int, more: str) -> bool:
+    """Whether a number may begin at a place: not inside a word, a number, a path or a list."""
+    if at == 0:
+        return True
+    before = text[at - 1]
+    if before in "./_+" or before in more and before != "," or before.isascii() and before.isalnum():
+        return False
+    return not (before == " " or before in more) or at < 2 or not text[at - 2].isdigit()
+
+
+def _spans(plain: str) -> list[tuple[int, int, str]]:
+    text, edits, said = undisguised(plain)
+    taken = _Taken()
+    low = text.lower()
+    if "@" in text:
+        for m in EMAIL.finditer(text):
+            taken.add(*m.span(), "email")
+    other = lambda at: _OTHER_NUMBER.search(text, max(0, at - 40), at)
+    labelled = lambda at: _ID_LABEL.search(text, max(0, at - 40), at)
+    starts = [a + sum(len(x) - (d - c) for c, d, x in edits if c < a) for a in sorted(said)]
+    ends = {s: s + len(next(x for a, _, x in edits if a == p)) for s, p in zip(starts, sorted(said))}
+    for a, b in ends.items():
+        taken.add(a, b, "id_number" if labelled(a) else "phone")
+    runs = [m.start() for m in _DIGITS.finditer(text)]
+    for run in runs:
+        at = run
+        if at and text[at - 1] in "-ABCDEFGHIJKLMNOPQRSTUVWXYZ " and (lead := _LETTERS_BEFORE.search(text, max(0, at - 3), at)):
+            at = lead.start()
+        if not _number_begins(text, at, "-"):
+            at = run
+            if not _number_begins(text, at, "-"):
+                continue
+        m = ID_NUMBER.match(text, at) or (ID_NUMBER.match(text, run) if at < run and _number_begins(text, run, "-") else None)
+        if m and not other(m.start()):
+            taken.add(*m.span(), "id_number")
+        elif not m and labelled(at) and (m := _ID_TOKEN.match(text, at)) and sum(c.isdigit() for c in m[0]) >= 5:
+            taken.add(*m.span(), "id_number")
+    for run in runs:
+        for at in (run - 1, run) if run and text[run - 1] in "+(" else (run,):
+            if _number_begins(text, at, "-#,"):
+                m = PHONE.match(text, at)
+                if m and not other(at):
+                    taken.add(*m.span(), "phone")
+                    break
     for words, pattern in ADDRESSES:
-        if not words or any(w in low for w in words):
-            for m in pattern.finditer(plain):
-                add(*m.span(), "address")
+        if words and not any(w in low for w in words):
+            continue
+        if pattern.pattern.startswith(_NUMBER_FIRST):
+            for run in runs:
+                if (not run or not (text[run - 1].isalnum() or text[run - 1] == "_")) and (m := pattern.match(text, run)):
+                    unit = _UNIT_BEFORE.search(text, max(0, run - 20), run)
+                    taken.add(unit.start() if unit else run, m.end(), "address")
+        else:
+            for m in pattern.finditer(text):
+                taken.add(*m.span(), "address")
     for words, pattern in _NAMES:
-        if words and not any(w in plain for w in words):
+        if words and not any(w in text for w in words):
             continue
-        for m in pattern.finditer(plain):
+        for m in pattern.finditer(text):
             a, b = m.span("name")
-            if plain[a:b].lower() not in _NOT_NAMES:
-                add(a, b, "name")
-    return sorted(out)
+            if text[a:b].lower() not in _NOT_NAMES:
+                taken.add(a, b, "name")
+    for a, b in _scored_names(text):
+        taken.add(a, b, "name")
+    return source_spans(taken.spans, edits)
 
 
 def mentions(text: str | None) -> list[tuple[str, int, int]]:
