@@ -321,3 +321,29 @@ def test_packing_above_the_search_items_meets_a_tighter_count():
 def test_every_disguise_of_at_is_searched(at):
     text = f"write to ann{at}mail.test soon"
     assert [text[a:b] for a, b, kind in personal._spans(text) if kind == "email"] == [f"ann{at}mail.test"]
+
+
+@pytest.mark.parametrize("seed,bins,capacity", [(s, 80, 100) for s in range(8)] + [(s, 60, 100) for s in range(8, 12)] + [(0, 400, 1000), (1, 400, 1000)])
+def test_packing_finds_known_perfect_packings(seed, bins, capacity):
+    rng = random.Random(seed)
+    counts = {}
+    for _ in range(bins):
+        a, b = sorted(rng.sample(range(1, capacity), 2))
+        for s in (a, b - a, capacity - b):
+            counts[s] = counts.get(s, 0) + 1
+    out = packing.pack_sizes(counts, capacity)
+    assert sum(t for _, t in out) == bins and sum(t * sum(p.values()) for p, t in out) == sum(counts.values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.just(12))
+def test_packing_is_optimal_on_small_cases(sizes, capacity):
+    def fits(items, bins):
+        if not items:
+            return True
+        return any(b >= items[0] and b not in bins[:i] and fits(items[1:], [*bins[:i], b - items[0], *bins[i + 1 :]]) for i, b in enumerate(bins))
+
+    counts = {s: sizes.count(s) for s in set(sizes)}
+    n = sum(t for _, t in packing.pack_sizes(counts, capacity))
+    assert packing.lower_bound(counts, capacity) <= n if sizes else n == 0
+    assert fits(sorted(sizes, reverse=True), [capacity] * n) and not (n and fits(sorted(sizes, reverse=True), [capacity] * (n - 1)))
