@@ -20,7 +20,7 @@ def comparable(df):
         if df[c].dtype == object:
             df[c] = df[c].map(lambda v: None if v is None or isinstance(v, float) and np.isnan(v) else str(list(v)) if isinstance(v, (list, np.ndarray)) else str(v))
         elif str(df[c].dtype).startswith(("float", "int", "bool", "Int")):
-            df[c] = df[c].astype(float).round(5).map(lambda v: None if np.isnan(v) else str(v))
+            df[c] = df[c].astype(float).round(9).map(lambda v: None if np.isnan(v) else str(v))
         else:
             df[c] = df[c].astype(str)
     return df.fillna("-").sort_values(list(df.columns)).reset_index(drop=True)

@@ -22,7 +22,8 @@ def test_clock_rules(text, want):
 
 
 def test_dotted_times_need_the_open_rule():
-    assert exact.clock("5 p.m.", dotted=True) == "17:00"
+    assert exact.clock("5 p.m.", dotted=True) == "17:00."  # the pattern ends at a word bound; punctuation goes in a later step
+    assert exact.normal_value("5 p.m.", "lme") == "17:00" and exact.normal_value("2026", "lme") == "2026"
 
 
 def test_normal_value_order_of_rules():
@@ -32,6 +33,29 @@ def test_normal_value_order_of_rules():
     assert exact.normal_value("five people", "multiwoz") == "5"
 
 
+VALUES = ["", "  ", "３ pm", "12 am", "12:30 pm and 9:05", "915", "1999", "2026", "City Centre!", "Ｇｒａｎｄ ﬁsh ½", "five people", "north american", "é가", "7 p.m. or 8 a.m", "10:30 AM", "13 pm", "x" * 50_000, "2 people, at 7:15pm", "12pm12am", None]
+
+
+@pytest.mark.parametrize("family", ["", "multiwoz", "lme"])
+def test_normal_forms_of_the_jvm_equal_the_exact_ones(spark, family):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(VALUES)], "i int, v string")
+    got = {r["i"]: r["n"] for r in rows.select("i", strings.normalize_value("v", family).alias("n")).collect()}
+    assert got == {i: exact.normal_value(v, family) for i, v in enumerate(VALUES)}
+
+
+ANSWERS = ['{"value": "a", "support": ["x", null, "y"], "abstain": false}', 'so: {"value": "b"} ok', '```json\n{"value": 0}\n```', '{"a": {"value": "c"}}', "[1]", '"text"', "null", "", None, '{"value": "\\u00e9", "abstain": true}', '{"value": true, "abstain": "no"}', "{", "}{", '{"value": 1.5}', '{"value": ["p", 1]}', '[{"value": "z"}]']
+
+
+def test_fields_of_answers_by_flavour(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(ANSWERS)], "i int, v string")
+    got = {r["i"]: r["f"] for r in rows.select("i", exact.json_fields()("v").alias("f")).collect()}
+    for i, v in enumerate(ANSWERS):
+        assert tuple(tuple(got[i][f]) for f in exact.FLAVOURS) == tuple(exact.object_fields(exact.recover_json(v, f)) for f in exact.FLAVOURS)
+    pick = lambda i, f: tuple(got[i][f])[:4]
+    assert pick(0, "dict") == (True, "a", "string", "x y") and pick(9, "tail")[1] == "é" and got[9]["dict"]["abstain"] and pick(13, "dict")[1:3] == ("1.5", "number")
+    assert pick(3, "dict")[0] and not pick(3, "tail")[0] and not pick(15, "dict")[0] and pick(15, "tail")[1] == "z" and not got[10]["dict"]["abstain"] and got[10]["dict"]["truthy"]
+
+
 @pytest.mark.parametrize("needle,hay,want", [("sf", "successfully", False), ("2", "20 rooms", False), ("2", "2 rooms", True), ("a", "aé", False), ("", "x", False), (r"a\Eb", r"x a\Eb", True)])
 def test_bounded_occurrence(spark, needle, hay, want):
     assert exact.occurs(needle, hay) == want
@@ -135,8 +159,8 @@ def test_readers_answer_and_fail_by_row(spark):
 def test_many_replicates_against_a_plain_loop(spark):
     rows = [("a" if i % 3 else "b", f"c{i // 2}", float(i % 2) + i / 50, 1 + i % 4) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, c string, total double, n bigint")
-    got = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_many(df, ["g"], "c", "total", "n", 5000).collect()}
-    again = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_many(df.repartition(7), ["g"], "c", "total", "n", 5000).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_ratio(df, ["g"], "c", "total", "n", 5000).collect()}
+    again = {r["g"]: tuple(r)[1:] for r in stats.bootstrap_ratio(df.repartition(7), ["g"], "c", "total", "n", 5000).collect()}
     assert got == again
     for g in "ab":
         own = [r for r in rows if r[0] == g]
@@ -152,17 +176,26 @@ def test_cluster_weights_are_poisson():
     assert len(w) == 500_000 and abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and w.max() >= 8
 
 
-@pytest.mark.parametrize("name,count", [("bootstrap_methods_full", 10_000), ("paired_contrast_full", 5_000)])
+@pytest.mark.parametrize("name,count", [("bootstrap_methods", 10_000), ("paired_contrast", 5_000), ("seed_balanced_interval", 5_000)])
 def test_registered_intervals_take_all_replicates(name, count, spark, data, monkeypatch):
     from turnsieve.plans import queries as core
 
-    asked, plain = [], stats.bootstrap_many
-    monkeypatch.setattr(stats, "bootstrap_many", lambda *a: asked.append(a[-1]) or plain(*a))
-    short = {r["method"]: r for r in core.QUERIES[name.removesuffix("_full")](spark, data).collect()}
-    found = {r["method"]: r for r in core.QUERIES[name](spark, data).collect()}
-    assert asked == [count] and set(found) == set(short)
-    for m, r in found.items():
-        assert (r["mean"], r["n_clusters"]) == (short[m]["mean"], short[m]["n_clusters"]) and r["lower"] <= r["mean"] <= r["upper"]
+    asked, plain = [], stats.bootstrap_ratio
+    monkeypatch.setattr(stats, "bootstrap_ratio", lambda *a: asked.append(a[-1]) or plain(*a))
+    assert all(r["lower"] <= r["mean"] <= r["upper"] for r in core.QUERIES[name](spark, data).collect()) and asked == [count]
+
+
+def test_seed_balance_by_hand(spark):
+    rows = [("g", 1, "a", 1), ("g", 1, "b", 0), ("g", 1, "c", 0), ("g", 1, "d", 0), ("g", 2, "a", 1)]
+    got = stats.seed_balanced(spark.createDataFrame(rows, "g string, seed int, c string, strict int"), ["g"], "seed", "c", ["strict"], 200).first()
+    assert got["mean"] == 0.625 and got["n_clusters"] == 4 and got["lower"] <= 0.625 <= got["upper"]
+
+
+def test_judges_by_hand(spark):
+    rows = [("q1", True, True), ("q1", False, None), ("q2", False, False), ("q2", True, False), ("q3", None, True)]
+    sums = stats.judged_clusters(spark.createDataFrame(rows, "q string, y boolean, j boolean"), [], "q", "y", ["j"])
+    got = {r["statistic"]: r["value"] for r in stats.cluster_bootstrap(sums, ["judge"], "q", ["n", "pos", "neg", "right", "tp", "tn"], {"accuracy": F.try_divide("right", "n"), "balanced": (F.try_divide("tp", "pos") + F.try_divide("tn", "neg")) / 2}, 50).collect()}
+    assert got == {"accuracy": 0.5, "balanced": 0.5}
 
 
 def test_consolidation_needs_every_seed(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, nfkc
 
 # Spellings that mean the same in the hotel and restaurant corpus, in this order.
 ALIASES = (
@@ -56,22 +56,46 @@ def apply_aliases(x: Column | str) -> Column:
     """Spelling variants replaced one after another at word bounds."""
     out = col(x)
     for old, new in ALIASES:
-        out = F.regexp_replace(out, rf"\b{old}\b", new)
+        out = F.regexp_replace(out, rf"(?U)\b{old}\b", new)
     return out
 
 
-def pad_times(x: Column | str) -> Column:
-    """`H:MM` as `HH:MM`, and a bare number of three or four digits as a time where it is one."""
-    padded = F.regexp_replace(col(x), r"\b(\d):(\d{2})\b", "0$1:$2")
-    three = F.regexp_replace(padded, r"\b(\d)([0-5]\d)\b", "0$1:$2")
-    return F.regexp_replace(three, r"\b([01]\d|2[0-3])([0-5]\d)\b", "$1:$2")
+#: A time of twelve hours: hour, minutes, half of the day; the second form also has dots in `a.m.`.
+HALF_DAY = {False: r"(?U)\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)\b", True: r"(?U)\b(\d{1,2})(?::(\d{2}))?\s*(a\.?m|p\.?m)\b\.?"}
 
 
-def normalize_value(x: Column | str, aliases: bool = False) -> Column:
-    """Portable normal form of a slot value: lower, aliases, times, punctuation, blanks; null as ''."""
-    out = F.trim(F.lower(F.coalesce(col(x), F.lit(""))))
-    out = apply_aliases(out) if aliases else out
-    return collapse(punctuation_to_space(pad_times(out)))
+def half_day_times(x: Column | str, dotted: bool = False) -> Column:
+    """Twelve-hour times as HH:MM; what lies between them is joined to them again as it was."""
+    x, p = col(x), HALF_DAY[dotted]
+    parts = lambda i: F.regexp_extract_all(x, F.lit(p), i)
+    hours = F.transform(parts(1), lambda h: h.cast("int"))
+    late = F.transform(parts(3), lambda h: F.startswith(h, F.lit("p")))
+    shifted = F.zip_with(hours, late, lambda h, pm: F.when(pm & (h != 12), h + 12).when(~pm & (h == 12), 0).otherwise(h))
+    made = F.zip_with(shifted, parts(2), lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.when(m == "", "00").otherwise(m)))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(x, p, -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+    return F.when(F.regexp_like(x, F.lit(r"\d\s*[ap]\.?m")), joined).otherwise(x)
+
+
+def pad_times(x: Column | str, bare: bool = True) -> Column:
+    """`H:MM` as `HH:MM` and, if `bare`, a number of three or four digits as a time where it is one."""
+    out = F.regexp_replace(col(x), r"(?U)\b(\d):(\d{2})\b", "0$1:$2")
+    if bare:
+        out = F.regexp_replace(out, r"(?U)\b(\d)([0-5]\d)\b", "0$1:$2")
+        out = F.regexp_replace(out, r"(?U)\b([01]\d|2[0-3])([0-5]\d)\b", "$1:$2")
+    return out
+
+
+def normalize_value(x: Column | str, family: str = "") -> Column:
+    """Normal form of a slot value: compatibility form, lower, aliases, times, punctuation, blanks; null
+    as ''. `family` is `multiwoz` (with aliases), `lme` (dotted halves of the day, no bare times), or any other."""
+    out = strip(F.lower(nfkc(F.coalesce(col(x), F.lit("")))))
+    out = apply_aliases(out) if family == "multiwoz" else out
+    return collapse(punctuation_to_space(pad_times(half_day_times(out, family == "lme"), family != "lme")))
+
+
+def normalize_by(x: Column | str, dataset: Column | str) -> Column:
+    """Normal form by the row's dataset."""
+    return F.when(col(dataset) == "multiwoz", normalize_value(x, "multiwoz")).otherwise(normalize_value(x))
 
 
 def occurs_bounded(needle: Column | str, hay: Column | str) -> Column:
@@ -81,14 +105,14 @@ def occurs_bounded(needle: Column | str, hay: Column | str) -> Column:
     return F.coalesce((n != "") & h.contains(n) & F.regexp_like(h, quoted), F.lit(False))
 
 
-def values_match(a: Column | str, b: Column | str, aliases: bool = False) -> Column:
-    na, nb = normalize_value(a, aliases), normalize_value(b, aliases)
+def values_match(a: Column | str, b: Column | str, family: str = "") -> Column:
+    na, nb = normalize_value(a, family), normalize_value(b, family)
     return (na != "") & (na == nb)
 
 
-def values_match_loose(prediction: Column | str, reference: Column | str, aliases: bool = False) -> Column:
+def values_match_loose(prediction: Column | str, reference: Column | str, family: str = "") -> Column:
     """The reference occurs, bounded, in the prediction."""
-    return occurs_bounded(normalize_value(reference, aliases), normalize_value(prediction, aliases))
+    return occurs_bounded(normalize_value(reference, family), normalize_value(prediction, family))
 
 
 def humanize_slot(x: Column | str) -> Column:
@@ -104,10 +128,13 @@ def alias_equivalent(old: Column | str, new: Column | str) -> Column:
     return (a != "") & (b != "") & ((a == b) | ((ha != "") & (ha == hb)) | inside)
 
 
+# Phrases that lead a request.
+REQUEST_LEAD = r"(?i)^(?:can you |could you |please |i'?d like to |i want to |i need to |i'?m looking to )"
+
+
 def normalize_task(x: Column | str) -> Column:
     """A request without one leading phrase of asking and without closing marks, in lower case."""
-    lead = r"(?i)^(?:can you |could you |please |i'?d like to |i want to |i need to |i'?m looking to )"
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(col(x), F.lit(""))), lead, ""), r"[?.!]+\s*$", "")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(col(x), F.lit(""))), REQUEST_LEAD, ""), r"[?.!]+\s*$", "")))
 
 
 def content_tokens(x: Column | str, stop: tuple[str, ...] = STOP_GOAL) -> Column:
@@ -117,8 +144,8 @@ def content_tokens(x: Column | str, stop: tuple[str, ...] = STOP_GOAL) -> Column
 
 
 def cjk_tokens(x: Column | str) -> Column:
-    """Distinct ideographs, each a token, and Latin tokens."""
-    low = F.lower(F.coalesce(col(x), F.lit("")))
+    """Distinct ideographs of the compatibility form, each a token, and Latin tokens."""
+    low = F.lower(nfkc(F.coalesce(col(x), F.lit(""))))
     return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"([\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}])"), 1), content_tokens(low, STOP_CJK)))
 
 
@@ -142,9 +169,9 @@ def numbers_of(x: Column | str) -> Column:
 
 
 def numeric_only_equivalent(prediction: Column | str, reference: Column | str) -> Column:
-    """A prediction without letters holds the same numbers in the same order."""
+    """A prediction without Latin letters holds the same numbers in the same order; for normal forms."""
     p, r = numbers_of(prediction), numbers_of(reference)
-    return ~F.regexp_like(F.coalesce(col(prediction), F.lit("")), F.lit(r"\p{L}")) & (F.size(p) > 0) & (p == r)
+    return ~F.regexp_like(F.coalesce(col(prediction), F.lit("")), F.lit("[a-z]")) & (F.size(p) > 0) & (p == r)
 
 
 def split_answer(x: Column | str) -> Column:

@@ -1,9 +1,10 @@
 """Reader answers against their probes: joins, recovered fields, and the lexical scorers.
 
-The portable mode recovers fields by patterns inside the JVM; the exact mode (`functions.exact`)
-follows the JSON rules of each scorer. Nulls: a missing text is unparsed, a missing gold is never
-matched. Repeated answers are scored each; a probe that stands twice under one request counts once,
-by its last row.
+The fields of an answer come from one reading of its JSON (`functions.exact.json_fields`) in the flavour
+each scorer follows: goals and joint answers from the whole text or its last object, current values from the
+last object only. Everything behind that is a column expression. Nulls: a missing text is unparsed, a
+missing gold is never matched. Repeated answers are scored each; a probe that stands twice under one request
+counts once, by its last row.
 """
 
 from __future__ import annotations
@@ -11,35 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.strings import STOP_GOAL, STOP_VALUE, answer_variants, cjk_tokens, content_tokens, hangul_tokens, norm_text, normalize_value, numeric_only_equivalent, occurs_bounded, split_answer
-from ..functions.text import dataset_name
+from ..functions.exact import json_fields
+from ..functions.strings import STOP_GOAL, STOP_VALUE, answer_variants, cjk_tokens, collapse, content_tokens, hangul_tokens, norm_text, normalize_by, normalize_value, numeric_only_equivalent, occurs_bounded, split_answer
+from ..functions.text import dataset_name, nfkc
 from ..runtime import hot_join
 
-_STRING = r'"((?:[^"\\]|\\.)*)"'
+#: Words of a value that stand for no answer (fixed values).
+NO_ANSWER = ("", "unknown", "n/a", "none")
 
 
-def one_probe(probes: DataFrame) -> DataFrame:
-    """The last probe of each request, with the columns that scorers read."""
-    kept = F.struct(
-        "row_id", "dialogue_id", dataset_name("dataset").alias("dataset"), "domain", "method", "probe_type", F.col("meta.sample_seed").alias("seed"), "slot_human", "old_value", "new_value", "gold", "gold_story_label", "gold_value", F.col("compressed_text_used").alias("context")
-    )
-    return probes.where("request_id is not null").groupBy(F.col("request_id").alias("id")).agg(F.max_by(kept, "row_id").alias("p"))
-
+def one_probe(probes: DataFrame, context: bool = False) -> DataFrame:
+    """The last probe of each request, with the columns that scorers read; the context only on demand."""
+    first = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
+    kept = [
+        "row_id", "dialogue_id", dataset_name("dataset").alias("dataset"), "domain", "method", "probe_type", F.col("meta.sample_seed").alias("seed"), "slot_human", "old_value", "new_value", "gold", "gold_story_label", "gold_value", first("gold_value", "gold", "new_value").alias("value_gold"),
+        *([first("compressed_text_used", "prompt_user").alias("context"), F.col("compressed_text_used").alias("compressed")] if context else []),
+    ]
+    return probes.where("request_id is not null").groupBy(F.col("request_id").alias("id")).agg(F.max_by(F.struct(*kept), "row_id").alias("p"))
 
-def recovered(answers: DataFrame) -> DataFrame:
-    """Answers with the fields of their JSON object: value, support, abstain, parsed."""
-    text = F.coalesce("reader_output_text", F.lit(""))
-    has = F.regexp_like(text, F.lit(r'(?s)\{.*"value".*\}'))
-    value = F.when(has & F.regexp_like(text, F.lit(rf'"value":\s*{_STRING}')), F.regexp_extract(text, rf'"value":\s*{_STRING}', 1))
-    support = F.when(has, F.regexp_extract(text, rf'"support":\s*{_STRING}', 1))
-    said = has & F.regexp_like(text, F.lit(r'"abstain":\s*true'))
-    return answers.select("answer_no", "id", "model", "source", "error", "input_tokens", value.alias("value"), support.alias("support"), said.alias("said_abstain"), has.alias("parsed"))
 
-
-def answers_with_probes(answers: DataFrame, probes: DataFrame) -> DataFrame:
-    """Inner join of answers and probes by request, safe when one request holds very many answers."""
-    joined = hot_join(recovered(answers).where("id is not null"), one_probe(probes), "id").where("p is not null")
-    return joined.select("answer_no", "id", "model", "source", "error", "input_tokens", "value", "support", "said_abstain", "parsed", "p.*")
+def answers_with_probes(answers: DataFrame, probes: DataFrame, context: bool = False) -> DataFrame:
+    """Inner join of answers and probes by request, safe when one request holds very many answers, with the
+    fields of each answer: j (whole text or last object) and t (last object only)."""
+    rows = answers.where("id is not null").select("answer_no", "id", "model", "source", "error", "input_tokens", F.col("reader_output_text").alias("text"))
+    joined = hot_join(rows, one_probe(probes, context), "id").where("p is not null").withColumn("f", json_fields()("text"))
+    return joined.select("answer_no", "id", "model", "source", "error", "input_tokens", "p.*", F.col("f.dict").alias("j"), F.col("f.tail").alias("t"))
 
 
 def token_f1(gold: Column, pred: Column) -> Column:
@@ -54,9 +51,8 @@ def _int(c: Column) -> Column:
 
 def with_abstain(rows: DataFrame) -> DataFrame:
     """Unparsed, declared and empty answers are abstentions; `pred` is empty for them."""
-    empty = F.coalesce("value", F.lit("")) == ""
-    rows = rows.withColumn("abstain", ~F.col("parsed") | F.col("said_abstain") | empty)
-    return rows.withColumn("pred", F.when(F.col("abstain"), "").otherwise(F.col("value")))
+    pred = F.when(F.col("j.ok") & ~F.col("j.abstain"), F.coalesce("j.value", F.lit(""))).otherwise("")
+    return rows.withColumns({"pred": pred, "abstain": pred == "", "parsed": F.col("j.ok")})
 
 
 def score_goal(rows: DataFrame) -> DataFrame:
@@ -67,21 +63,21 @@ def score_goal(rows: DataFrame) -> DataFrame:
 
 
 def score_value(rows: DataFrame) -> DataFrame:
-    """Current values: equal normal forms are strict, a bounded occurrence is loose. An unparsed
-    answer is wrong but no abstention; rows with an error and no answer score 0 with `err` 1."""
-    pick = rows.where("probe_type = 'P3'")
-    word = F.lower(F.trim("value"))
-    pick = pick.withColumn("abstain", F.col("said_abstain") | F.coalesce(word.isin("", "unknown", "n/a", "none"), F.lit(False)))
-    pick = pick.withColumns({"ng": normalize_value("gold"), "np": normalize_value("value"), "gt": content_tokens("gold", STOP_VALUE), "pt": content_tokens("value", STOP_VALUE)})
-    ok = ~F.col("abstain") & (F.col("ng") != "") & (F.col("np") != "")
+    """Current values: equal normal forms are strict, a bounded occurrence is loose. Only a string is a
+    prediction; an unparsed answer is wrong but no abstention; rows with an error score 0 with `err` 1."""
+    err = F.coalesce(F.col("error"), F.lit("")) != ""
+    said = F.when(F.col("t.kind") == "string", F.col("t.value"))
+    pick = rows.where("probe_type = 'P3'").withColumns({"err": _int(err), "value": said, "parsed": F.col("t.ok")})
+    pick = pick.withColumn("abstain", ~err & (F.col("t.truthy") | F.coalesce(F.lower(F.trim("value")).isin(*NO_ANSWER), F.lit(False))))
+    pick = pick.withColumns({"ng": normalize_by("value_gold", "dataset"), "np": normalize_by("value", "dataset"), "gt": content_tokens("value_gold", STOP_VALUE), "pt": content_tokens("value", STOP_VALUE)})
+    ok = ~err & ~F.col("abstain")
     overlap = F.size(F.array_intersect("gt", "pt"))
     return pick.withColumns(
         {
-            "err": _int(F.col("error").isNotNull() & F.col("value").isNull()),
-            "strict": _int(ok & (F.col("ng") == F.col("np"))),
+            "strict": _int(ok & (F.col("ng") != "") & (F.col("ng") == F.col("np"))),
             "loose": _int(ok & occurs_bounded("ng", "np")),
-            "overlap_strict": _int(~F.col("abstain") & (overlap >= 2) & (F.size("gt") >= 2)),
-            "overlap_loose": _int(~F.col("abstain") & (overlap >= 1)),
+            "overlap_strict": _int(ok & (overlap >= 2) & (F.size("gt") >= 2)),
+            "overlap_loose": _int(ok & (overlap >= 1)),
         }
     ).drop("ng", "np", "gt", "pt")
 
@@ -92,7 +88,11 @@ def half_down(n: Column) -> Column:
 
 def score_joint_whole(rows: DataFrame) -> DataFrame:
     """Goal and value anywhere in the whole answer."""
-    rows = with_abstain(rows.where("probe_type = 'P1_LATE'")).withColumns({"gt": content_tokens("gold_story_label"), "vt": content_tokens("gold_value"), "pt": content_tokens("pred")})
+    return _whole_field(with_abstain(rows.where("probe_type = 'P1_LATE'")))
+
+
+def _whole_field(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumns({"gt": content_tokens("gold_story_label"), "vt": content_tokens("gold_value"), "pt": content_tokens("pred")})
     goal = F.size(F.array_intersect("gt", "pt")) >= 1
     strict = occurs_bounded(norm_text(F.coalesce("gold_value", F.lit(""))), norm_text("pred"))
     loose = strict | ((F.size("vt") > 0) & (F.size(F.array_intersect("vt", "pt")) >= half_down(F.size("vt"))))
@@ -101,7 +101,18 @@ def score_joint_whole(rows: DataFrame) -> DataFrame:
 
 def score_joint_segment(rows: DataFrame) -> DataFrame:
     """Goal in the goal segment and value in the value segment of `goal; slot: value`."""
-    rows = with_abstain(rows.where("probe_type = 'P1_LATE'")).withColumn("seg", split_answer("pred"))
+    return _segments(with_abstain(rows.where("probe_type = 'P1_LATE'")))
+
+
+def score_joint_both(rows: DataFrame) -> DataFrame:
+    """Both joint scores of each answer in one pass: whole-field columns with the prefix `whole_`."""
+    whole = _whole_field(with_abstain(rows.where("probe_type = 'P1_LATE'")))
+    names = ("goal_ok", "value_strict", "value_loose", "joint_strict", "joint_loose", "f1")
+    return _segments(whole.withColumnsRenamed({n: f"whole_{n}" for n in names}))
+
+
+def _segments(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("seg", split_answer("pred"))
     rows = rows.withColumns({"gt": content_tokens("gold_story_label"), "vt": content_tokens("gold_value"), "st": content_tokens("seg.value")})
     parsed = F.col("seg").isNotNull()
     goal = parsed & (F.size(F.array_intersect(F.col("gt"), content_tokens("seg.goal"))) >= 1)
@@ -112,15 +123,31 @@ def score_joint_segment(rows: DataFrame) -> DataFrame:
 
 def score_variants(rows: DataFrame) -> DataFrame:
     """Open values: any displayed variant equal, bounded or numerically equal is strict; half of the
-    content tokens, rounded up, is loose."""
-    rows = with_abstain(rows.where("dataset = 'lme_ku' and probe_type = 'P3'")).withColumn("np", normalize_value("pred"))
-    variants = answer_variants(F.coalesce("gold", F.lit("")))
-    hit = F.exists(variants, lambda v: (normalize_value(v) != "") & ((normalize_value(v) == F.col("np")) | occurs_bounded(normalize_value(v), F.col("np")) | numeric_only_equivalent(F.col("pred"), v)))
-    strict = (F.col("np") != "") & hit
-    gt, pt = content_tokens(normalize_value("gold"), STOP_VALUE), content_tokens(F.col("np"), STOP_VALUE)
-    loose = strict | ((F.size(gt) > 0) & (F.size(F.array_intersect(gt, pt)) >= F.ceil(F.size(gt) / 2)))
-    in_context = F.exists(variants, lambda v: occurs_bounded(normalize_value(v), normalize_value("context")))
-    return rows.withColumns({"strict": _int(strict), "loose": _int(loose), "gold_in_context": _int(in_context)}).drop("np")
+    content tokens, rounded up, is loose. `gold_in_context` needs rows with their context."""
+    err = F.coalesce(F.col("error"), F.lit("")) != ""
+    said = F.when(F.col("j.kind").isin("string", "number"), F.col("j.value"))
+    rows = rows.where("dataset = 'lme_ku' and probe_type = 'P3'").withColumns({"pred": said, "err": _int(err)})
+    declared = F.col("j.truthy") | F.col("j.kind").isNull() | (F.col("j.kind") == "null") | ((F.col("j.kind") == "string") & F.lower(F.trim("j.value")).isin(*NO_ANSWER))
+    rows = rows.withColumns({"abstain": declared, "np": normalize_value("pred", "lme"), "variants": _normal_variants("value_gold")})
+    hit = F.exists("variants", lambda v: (v != "") & ((v == F.col("np")) | occurs_bounded(v, F.col("np")) | numeric_only_equivalent(F.col("np"), v)))
+    ok = ~err & ~F.col("abstain") & (F.col("np") != "")
+    gt, pt = content_tokens(normalize_value("value_gold", "lme"), STOP_VALUE), content_tokens(F.col("np"), STOP_VALUE)
+    enough = (F.size(gt) > 0) & (F.size(pt) > 0) & (F.size(F.array_intersect(gt, pt)) >= F.ceil(F.size(gt) / 2))
+    out = {"strict": _int(ok & hit), "loose": _int(ok & (hit | enough))}
+    if "context" in rows.columns:
+        rows = rows.withColumn("_context", normalize_value("context", "lme"))
+        out["gold_in_context"] = _int(F.exists("variants", lambda v: occurs_bounded(v, F.col("_context"))))
+    return rows.withColumns(out).drop("np", "variants", "_context")
+
+
+#: A letter no text uses; it divides texts that are normalized together and is left alone by every step.
+_DIVIDER = "\ua66e"
+
+
+def _normal_variants(gold: str) -> Column:
+    """Normal forms of the displayed variants of a text, normalized as one text."""
+    joined = F.array_join(answer_variants(F.coalesce(F.col(gold), F.lit(""))), f" {_DIVIDER} ")
+    return F.transform(F.split(normalize_value(joined, "lme"), _DIVIDER), lambda v: F.trim(v))
 
 
 def score_ideographs(rows: DataFrame) -> DataFrame:
@@ -131,6 +158,24 @@ def score_ideographs(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"overlap": overlap, "strict": _int(~F.col("abstain") & (overlap >= 2)), "loose": _int(~F.col("abstain") & (overlap >= 1)), "f1": F.round(token_f1(gt, pt), 6)})
 
 
+def support_in_context(rows: DataFrame) -> DataFrame:
+    """Whether the quoted support stands in the context, in the flavour of the answer's scorer: `value` (normal
+    forms, of current values), `bounded` (open values, at word bounds), `compatible` (goals in Chinese, over
+    the compressed text), `plain` (all others; case and blanks aside). Rows need their context."""
+    flavour = F.when((F.col("probe_type") == "P3") & (F.col("dataset") == "lme_ku"), "bounded").when(F.col("probe_type") == "P3", "value").when((F.col("probe_type") == "P1") & (F.col("dataset") == "risawoz"), "compatible").otherwise("plain")
+    tail = F.coalesce("t.support", F.lit(""))
+    whole = F.coalesce("j.support", F.lit(""))
+    inside = lambda s, c: (s != "") & c.contains(s)
+    blanks = lambda x: collapse(F.lower(nfkc(x)))
+    found = (
+        F.when(F.col("flavour") == "value", inside(normalize_by(tail, "dataset"), normalize_by("context", "dataset")))
+        .when(F.col("flavour") == "bounded", occurs_bounded(normalize_value(whole, "lme"), normalize_value("context", "lme")))
+        .when(F.col("flavour") == "compatible", inside(blanks(whole), blanks(F.coalesce("compressed", F.lit("")))))
+        .otherwise(inside(norm_text(whole), norm_text(F.coalesce("context", F.lit("")))))
+    )
+    return rows.withColumn("flavour", flavour).withColumn("in_context", _int(found))
+
+
 def either_contains(rows: DataFrame, pred: str, gold: str, old: str) -> Column:
     """Containment in either direction; a gold that holds the old value asks for it and for any of
     the gold's words longer than three letters. An empty prediction is contained in any gold."""
@@ -141,7 +186,8 @@ def either_contains(rows: DataFrame, pred: str, gold: str, old: str) -> Column:
 
 
 def score_either(rows: DataFrame) -> DataFrame:
-    rows = rows.where("dataset = 'fmts'")
+    """Containment either way, for the dataset that is judged so."""
+    rows = rows.where("dataset = 'fmts'").withColumn("value", F.coalesce("j.value", F.lit("")))
     return rows.withColumn("correct", _int(either_contains(rows, "value", "gold", "old_value")))
 
 

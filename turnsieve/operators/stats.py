@@ -1,15 +1,15 @@
 """Ranks, resampling and tests over scored cells.
 
-Resampling works on cluster sums, never on rows: clusters are added up first, then every cluster
-meets every replicate with a Poisson weight drawn from a hash, and sums combine before they are
-shuffled. Work is clusters x replicates, no group is gathered, and results do not depend on how
-the data are partitioned. Exact small-sample versions are beside them.
+Resampling works on cluster sums, never on rows: clusters are added up first, each cluster draws its
+weights for all replicates from hashes of its name, and every task adds up its clusters, so that only tasks
+x groups x replicates partial sums are shuffled. Weights are Poisson draws, which is the form of redrawing
+clusters that needs no knowledge of the others; results do not depend on how the data are partitioned.
+Exact small-sample versions are beside them.
 """
 
 from __future__ import annotations
 
 import hashlib
-from math import exp, factorial
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cumulative probabilities of a Poisson variable with mean 1 (fixed values).
-POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887, 0.99999989, 0.99999999)
+#: Discordant counts up to which binomial coefficients and their products stay whole numbers in a double.
+EXACT_N = 46
 #: Standard normal quantile of the intervals (fixed value).
 Z = 1.96
 
@@ -28,31 +30,6 @@ def mid_rank(value: Column, partition: list[str]) -> Column:
     return F.rank().over(best) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
 
 
-def poisson_weight(replicate: Column, cluster: Column) -> Column:
-    """Weight of a cluster in a replicate: a Poisson draw from 32 bits of a hash."""
-    u = F.conv(F.substring(F.sha2(F.concat_ws("|", replicate.cast("string"), cluster), 256), 9, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-    def steps(x: Column) -> Column:
-        out = F.lit(0)
-        for p in POISSON:
-            out = out + (x >= p).cast("int")
-        return out
-
-    return F.transform(F.array(u), steps)[0]  # bound once, so that the hash is taken once
-
-
-def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int = 200) -> DataFrame:
-    """Mean and percentile interval of sum/count with clusters redrawn: by, mean, n_clusters, lower,
-    upper. Replicate -1 takes every cluster once and gives the mean, so the sums are made once;
-    a replicate that draws no cluster has no value."""
-    reps = sums.sparkSession.range(-1, replicates).select(F.col("id").alias("rep"))
-    weight = F.when(F.col("rep") < 0, 1).otherwise(poisson_weight(F.col("rep"), F.col(cluster)))
-    cores = sums.sparkSession.sparkContext.defaultParallelism  # sums are few bytes but much work
-    drawn = sums.repartition(cores, cluster).crossJoin(F.broadcast(reps)).withColumn("w", weight)
-    per = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("w") * F.col(total)), F.sum(F.col("w") * F.col(count))).alias("stat"), F.count("*").alias("n"))
-    return _intervals(per, by)
-
-
 def _intervals(per: DataFrame, by: list[str]) -> DataFrame:
     own, drew = F.col("rep") < 0, F.when(F.col("rep") >= 0, F.col("stat"))
     rounded = lambda c: F.round(c, 6) + F.lit(0.0)
@@ -61,22 +38,21 @@ def _intervals(per: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-#: Cumulative probabilities of the same variable as 32-bit thresholds, as far as 32 bits tell them apart.
-_POISSON_32 = np.array([t for k in range(16) if (t := round(2**32 * exp(-1) * sum(1 / factorial(i) for i in range(k + 1)))) < 2**32], dtype=np.uint64)
+#: Draws that one hash gives: words of 32 bits in a SHA-256 digest.
+DRAWS = 8
 
 
 def cluster_weights(cluster: str, replicates: int) -> np.ndarray:
-    """Poisson weights of a cluster in all replicates, by a counter generator keyed with the cluster's hash."""
-    key = int.from_bytes(hashlib.sha256(cluster.encode()).digest()[:16], "little")
-    words = np.random.Philox(key=key).random_raw((replicates + 1) // 2)
-    u = np.stack([words & np.uint64(0xFFFFFFFF), words >> np.uint64(32)], axis=1).ravel()[:replicates]
-    return np.searchsorted(_POISSON_32, u, side="right").astype(np.float64)
+    """Poisson weights of a cluster in all replicates. The hash of block and cluster gives DRAWS of them."""
+    blocks = b"".join(hashlib.sha256(f"{b}|{cluster}".encode()).digest() for b in range(-(-replicates // DRAWS)))
+    u = np.frombuffer(blocks, dtype=">u4")[:replicates].astype(np.float64) / 4294967296.0
+    return np.searchsorted(np.array(POISSON), u, side="right").astype(np.float64)
 
 
-def bootstrap_many(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int) -> DataFrame:
-    """As bootstrap_ratio for thousands of replicates: a cluster draws its weights once, for all groups
-    and replicates, and each task adds up its clusters, so that only tasks x groups x replicates
-    partial sums are shuffled. A null cluster is one cluster."""
+def bootstrap_ratio(sums: DataFrame, by: list[str], cluster: str, total: str, count: str, replicates: int) -> DataFrame:
+    """Mean and percentile interval of sum/count with clusters redrawn: by, mean, n_clusters, lower, upper.
+    A cluster draws its weights once, for all groups. A replicate that draws no cluster of a group has
+    no value. A null cluster is one cluster."""
     kinds = dict(sums.dtypes)
 
     def run(batches):
@@ -108,6 +84,61 @@ def bootstrap_many(sums: DataFrame, by: list[str], cluster: str, total: str, cou
     return _intervals(parts.groupBy(*by, "rep").agg(F.try_divide(F.sum("s"), F.sum("c")).alias("stat"), F.sum("n").alias("n")), by)
 
 
+def tall(rows: DataFrame, keys: list[str], metrics: list[str], weight: Column | None = None) -> DataFrame:
+    """Metrics under each other: keys, metric, v (and w, the row's weight); null metrics give no row."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    out = rows.select(*keys, *([weight.alias("w")] if weight is not None else []), F.inline(each))
+    return out.where("v is not null")
+
+
+def seed_balanced(rows: DataFrame, by: list[str], seed: str, cluster: str, metrics: list[str], replicates: int) -> DataFrame:
+    """Means in which every seed of a group weighs the same, with cluster intervals: by, metric, mean,
+    n_clusters, lower, upper. A row weighs one by the number of rows of its seed in the group."""
+    each = tall(rows, [*by, seed, cluster], metrics)
+    cells = each.groupBy(*by, "metric", seed, cluster).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    sizes = cells.groupBy(*by, "metric", seed).agg(F.sum("n").alias("of_seed"))
+    weighted = cells.join(sizes, [*by, "metric", seed])
+    sums = weighted.groupBy(*by, "metric", cluster).agg(F.round(F.sum(F.col("v") / F.col("of_seed")), 12).alias("total"), F.round(F.sum(F.col("n") / F.col("of_seed")), 12).alias("n"))
+    return bootstrap_ratio(sums, [*by, "metric"], cluster, "total", "n", replicates)
+
+
+def judged_clusters(rows: DataFrame, by: list[str], cluster: str, label: str, judges: list[str]) -> DataFrame:
+    """Sums that accuracies and balanced accuracies of judges are ratios of, by cluster and judge: n, pos,
+    neg, right, tp, tn. Rows without a label are left out; an undecided judge is never right."""
+    each = F.array(*[F.struct(F.lit(j).alias("judge"), F.col(j).alias("p")) for j in judges])
+    y, p = F.col(label), F.coalesce("p", ~F.col(label))
+    told = rows.where(y.isNotNull()).select(*by, cluster, label, F.inline(each))
+    return told.groupBy(*by, "judge", cluster).agg(F.count("*").alias("n"), F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"), F.count_if(p == y).alias("right"), F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"))
+
+
+def cluster_bootstrap(sums: DataFrame, by: list[str], cluster: str, columns: list[str], stats: dict[str, Column], replicates: int) -> DataFrame:
+    """Statistics of several cluster sums over replicates, with percentile intervals: by, statistic, value,
+    lower, upper. `stats` are expressions over the summed columns; a null statistic is left out of the interval."""
+    kinds = dict(sums.dtypes)
+
+    def run(batches):
+        made: dict[tuple, np.ndarray] = {}
+        for rows in batches:
+            for key, own in rows.fillna({cluster: ""}).groupby([*by, cluster], dropna=False):
+                weights = np.concatenate([[1.0], cluster_weights(str(key[-1]), replicates)])
+                add = np.outer(weights, own[columns].to_numpy(dtype=np.float64).sum(axis=0))
+                made[key[:-1]] = made[key[:-1]] + add if key[:-1] in made else add
+        for group, total in made.items():
+            out = pd.DataFrame(total, columns=columns)
+            out.insert(0, "rep", np.arange(-1, replicates))
+            for i, name in enumerate(by):
+                out.insert(i, name, group[i])
+            yield out
+
+    cores = sums.sparkSession.sparkContext.defaultParallelism
+    placed = sums.select(*by, cluster, *columns).repartition(cores, cluster).sortWithinPartitions(cluster)
+    parts = placed.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", rep int, " + ", ".join(f"{c} double" for c in columns))
+    per = parts.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in columns])
+    each = per.select(*by, "rep", F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), x.cast("double").alias("v")) for n, x in stats.items()])))
+    drew = F.when(F.col("rep") >= 0, F.col("v"))
+    return each.groupBy(*by, "statistic").agg(F.round(F.max(F.when(F.col("rep") < 0, F.col("v"))), 6).alias("value"), F.round(F.percentile(drew, F.lit(0.025)), 6).alias("lower"), F.round(F.percentile(drew, F.lit(0.975)), 6).alias("upper"))
+
+
 def consolidated_seeds(rows: DataFrame) -> DataFrame:
     """From dataset, dialogue_id, seed, acc (one row each): mean of the dialogue means over the
     dialogues that all seeds of the dataset share, null where there is none, beside mean and
@@ -127,21 +158,17 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Exact two-sided test of discordant counts, by binomial terms in log space."""
-    n = (b + c).cast("double")
-    term = lambda i: F.exp(_lgamma(n + 1) - _lgamma(i + 1) - _lgamma(n - i + 1) + n * F.lit(float(np.log(0.5))))
-    tail = F.aggregate(F.sequence(F.lit(0), F.least(b, c).cast("int")), F.lit(0.0), lambda acc, i: acc + term(i.cast("double")))
-    return F.least(F.lit(1.0), 2 * tail)
-
-
-def _lgamma(x: Column) -> Column:
-    """Logarithm of the gamma function for x >= 1 (Stirling's series after a shift by seven)."""
-    shift = F.lit(0.0)
-    for j in range(7):
-        shift = shift + F.log(x + j)
-    y = x + 7
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.log(y) - y + float(0.5 * np.log(2 * np.pi)) + series - shift
+    """Exact two-sided test of discordant counts.
+
+    Up to EXACT_N counts the binomial terms are integers below 2^53 and the only rounding is one
+    division; beyond, terms are taken in log space from the recurrence C(n, i + 1) = C(n, i) (n - i) / (i + 1).
+    """
+    n, k = (b + c).cast("double"), F.least(b, c).cast("int")
+    start = lambda first: F.struct(F.lit(0.0).alias("sum"), first.alias("term"))
+    steps = F.sequence(F.lit(0), k)
+    whole = F.aggregate(steps, start(F.lit(1.0)), lambda acc, i: F.struct((acc["sum"] + acc["term"]).alias("sum"), F.round(acc["term"] * (n - i) / (i + 1)).alias("term")), lambda acc: acc["sum"] / F.pow(F.lit(2.0), n))
+    logs = F.aggregate(steps, start(n * F.lit(float(np.log(0.5)))), lambda acc, i: F.struct((acc["sum"] + F.exp(acc["term"])).alias("sum"), (acc["term"] + F.log(F.greatest(n - i, F.lit(1.0))) - F.log(i + 1)).alias("term")), lambda acc: acc["sum"])
+    return F.least(F.lit(1.0), 2 * F.when(n <= EXACT_N, whole).otherwise(logs))
 
 
 def mcnemar_exact(b: int, c: int) -> float:

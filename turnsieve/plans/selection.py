@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from ..functions.strings import correction_cue, normalize_value, occurs_bounded, slot_group, storage_stats
+from ..functions.strings import ALIASES, correction_cue, normalize_value, occurs_bounded, slot_group, storage_stats
 from ..functions.text import dataset_name
 from ..operators import score, select
 from ..runtime import hot_join, table
@@ -214,18 +216,81 @@ QUERIES = {f"sel_{k}": q for k, q in _N.items()} | {
     )
 }
 
-NV = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(coalesce({0},''))),'\b(\d):(\d{{2}})\b','0\1:\2','g'),'\b(\d)([0-5]\d)\b','0\1:\2','g'),'\b([01]\d|2[0-3])([0-5]\d)\b','\1:\2','g'),
- '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x{{200c}}\x{{200d}}\s\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}:/-]+',' ','g'),'[\s\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+',' ','g'))"""
+WS = r"\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 W = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+NOT_W = W.replace("[", "[^", 1)
+
+
+def _compatibility() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters with another compatibility form, by rule from the Unicode tables: those that become one
+    character, what they become, and those that become several."""
+    single, several = {}, []
+    for c in (*range(0xA0, 0x300), *range(0x1E9A, 0x1E9C), *range(0x2000, 0x2500), *range(0x2A00, 0x2A80), *range(0x2E80, 0x2FE0), *range(0x3000, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFF0)):
+        to = unicodedata.normalize("NFKC", chr(c))
+        if to != chr(c) and unicodedata.normalize("NFC", chr(c)) == chr(c):
+            if len(to) == 1:
+                single[chr(c)] = to
+            elif c < 0x2190 or 0xFB00 <= c < 0xFB07:
+                several.append((chr(c), to))
+    return "".join(single), "".join(single.values()), several
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_ONE, _TO, _MANY = _compatibility()
+_COMPAT = f"translate(v0, {_quoted(_ONE)}, {_quoted(_TO)})"
+for _a, _b in _MANY:
+    _COMPAT = f"replace({_COMPAT}, {_quoted(_a)}, {_quoted(_b)})"
+
+
+def bind(x: str, name: str, then: str) -> str:
+    """An expression over a value that is written once."""
+    return f"list_transform([{x}], lambda {name}: {then})[1]"
+
+
+def nfkc(x: str) -> str:
+    return bind(x, "v0", f"case when regexp_matches(v0, '[^\\x00-\\x7F]') then nfc_normalize({_COMPAT}) else v0 end")
+
+
+def _at_bounds(x: str, pattern: str, to: str) -> str:
+    """Replace at Unicode word bounds: the neighbours are consumed, so it is done twice."""
+    once = lambda y: f"regexp_replace({y}, '(^|{NOT_W}){pattern}($|{NOT_W})', '\\1{to}', 'g')"
+    return once(once(x))
+
+
+def _half_days(x: str, dotted: bool) -> str:
+    """Twelve-hour times, one replacement for each hour and half of the day, with and without minutes."""
+    halves = ("a\\.?m\\.?", "p\\.?m\\.?") if dotted else ("am", "pm")
+    for late, half in enumerate(halves):
+        for hour in range(13):
+            to = (hour % 12 if hour == 12 else hour) + 12 * late
+            x = _at_bounds(_at_bounds(x, f"0?{hour}:(\\d{{2}})\\s*{half}", f"{to:02d}:\\2\\3"), f"0?{hour}\\s*{half}", f"{to:02d}:00\\2")
+    return x
+
+
+def nv(x: str, family: str = "") -> str:
+    """SQL of the normal form of a value."""
+    out = bind(f"coalesce({x},'')", "n0", f"regexp_replace(lower({nfkc('n0')}), '^[{WS}]+|[{WS}]+$', '', 'g')")
+    if family == "multiwoz":
+        aliased = "n1"
+        for old, new in ALIASES:
+            aliased = _at_bounds(aliased, f"{old}", f"{new}\\2")
+        out = bind(out, "n1", aliased)
+    out = bind(out, "n2", f"case when regexp_matches(n2, '\\d\\s*[ap]\\.?m') then {_half_days('n2', family == 'lme')} else n2 end")
+    padded = _at_bounds(out, "(\\d):(\\d{2})", "0\\2:\\3\\4")
+    if family != "lme":
+        padded = _at_bounds(_at_bounds(padded, "(\\d)([0-5]\\d)", "0\\2:\\3\\4"), "([01]\\d|2[0-3])([0-5]\\d)", "\\2:\\3\\4")
+    return f"trim(regexp_replace(regexp_replace({padded}, '[^{W[1:-1]}{WS}:/-]+', ' ', 'g'), '[{WS}]+', ' ', 'g'))"
 
 
-def nv(x: str) -> str:
-    return NV.format(x)
+def nv_by(x: str, dataset: str = "dataset") -> str:
+    return f"case when {dataset} = 'multiwoz' then {nv(x, 'multiwoz')} else {nv(x)} end"
 
 
 def bounded(needle: str, hay: str) -> str:
-    notw = W.replace("[", "[^", 1)
-    return f"coalesce(case when {needle} <> '' and contains({hay},{needle}) then regexp_matches({hay}, '(?:^|{notw})' || regexp_escape({needle}) || '(?:$|{notw})') end, false)"
+    return f"coalesce(case when {needle} <> '' and contains({hay},{needle}) then regexp_matches({hay}, '(?:^|{NOT_W})' || regexp_escape({needle}) || '(?:$|{NOT_W})') end, false)"
 
 
 _PICK = f"with {TURNS} select dialogue_id, turn_id from b where "

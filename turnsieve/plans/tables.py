@@ -334,7 +334,7 @@ ORACLE = {
     "stream_resumable_scores": "select answer_no, coalesce(length(reader_output_text), 0)::int n_chars, (error is not null)::int err from reused_raw_answers",
     "stream_latest_values": "select strftime(ts, '%Y-%m-%d') as day, user_id, round(arg_max(value, ts), 4) as value, count(*) n from events group by 1, 2",
     "star_method_cells": "with per as (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) r from lineitem group by 1) select n_name, year(o_orderdate)::int as year, count(*) n_orders, round(sum(r), 0) revenue from orders join per on o_orderkey = l_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
-    "binomial_table": "select b, c, round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5::double))))), 6) p from range(0, 12) t(b), range(0, 12) u(c) where b + c > 0",
+    "binomial_table": "select b, c, round(least(1.0::double, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: factorial((b + c)::int)::double / (factorial(i::int) * factorial((b + c - i)::int))::double)) / pow(2.0::double, b + c)), 6) p from range(0, 12) t(b), range(0, 12) u(c) where b + c > 0",
     "labelled_probes": "select slot as label_slot, p.method, count(*) n from probes p join update_labels using (dialogue_id) group by 1, 2".replace("slot as", "update_labels.slot as"),
     "dataset_names": f"select {DATASET.format('dataset')} as dataset, count(*) n from probes group by 1",
 }
