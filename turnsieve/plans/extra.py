@@ -33,14 +33,14 @@ def sel_matched_controls(spark, d):
 
 
 def rouge_of_contexts(spark, d):
-    """Longest-common-subsequence overlap of each probe's gold and its last question line."""
+    """Longest-common-subsequence overlap of each probe's gold with its whole context."""
 
     @F.pandas_udf("double")
     def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([round(exact.rouge_l(x, y), 6) for x, y in zip(a, b)])
 
-    rows = table(spark, d, "probes").where("gold is not null").select("row_id", "gold", F.coalesce("gold_value", "new_value").alias("other"))
-    return rows.select("row_id", overlap("gold", "other").alias("rouge_l"))
+    rows = table(spark, d, "probes").where("gold is not null and compressed_text_used is not null").select("row_id", "gold", "compressed_text_used")
+    return rows.select("row_id", overlap("gold", "compressed_text_used").alias("rouge_l"))
 
 
 def retention_split(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import nested
 from ..runtime import table
-from . import extra, scoring, selection, tables
+from . import extra, scoring, selection, tables, wider
 
 LISTS = ("s_origin", "s_evidence", "s_transition_support", "control_origin", "control_transition_support")
 
@@ -47,9 +47,9 @@ def p5_meta_references(spark, d):
     return nested.meta_references(table(spark, d, "probes"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_probe_table, p5_schema_edges, p5_probe_members, p5_list_entries, p5_nested_rows, p5_table_catalog, p5_meta_references)} | selection.QUERIES | scoring.QUERIES | tables.QUERIES | extra.QUERIES
+QUERIES = {f.__name__: f for f in (p5_found, p5_probe_table, p5_schema_edges, p5_probe_members, p5_list_entries, p5_nested_rows, p5_table_catalog, p5_meta_references)} | selection.QUERIES | scoring.QUERIES | tables.QUERIES | extra.QUERIES | wider.QUERIES
 ORACLE: dict[str, str] = {
     "p5_meta_references": " union all ".join(
         f"select row_id as parent_id, method, probe_type, '{n}' as list_name, p::bigint as list_pos, (meta.{n})[p + 1] as turn_id from probes, unnest(range(0, len(meta.{n}))) u(p) where meta.{n} is not null" for n in LISTS
     )
-} | selection.ORACLE | scoring.ORACLE | tables.ORACLE | extra.ORACLE
+} | selection.ORACLE | scoring.ORACLE | tables.ORACLE | extra.ORACLE | wider.ORACLE

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import ALIASES, correction_cue, normalize_value, occurs_bounded, slot_group, storage_stats
 from ..functions.text import dataset_name
 from ..operators import score, select
+from ..operators.build import numbered
 from ..runtime import hot_join, table
 
 RATIO = 0.3
@@ -180,14 +181,15 @@ def eligible_value(spark, d):
     labels = table(spark, d, "update_labels").where("is_final_slot_update").where(~alias_equivalent("old_value", "new_value"))
     wanted = labels.select("dialogue_id", "slot", "new_value", normalize_value("new_value").alias("nv")).where("nv <> ''")
     texts = turns_of(spark, d).select("dialogue_id", normalize_value("text").alias("nt"))
-    hits = texts.join(wanted, "dialogue_id").where(F.col("nt").contains(F.col("nv"))).select("dialogue_id", "slot", "new_value").distinct()
-    return hits
+    own = wanted.groupBy("dialogue_id").agg(F.collect_set(F.struct("slot", "new_value", "nv")).alias("w"))
+    said = hot_join(texts, own, "dialogue_id").where("w is not null").select("dialogue_id", "nt", F.inline("w"))
+    return said.where(F.col("nt").contains(F.col("nv"))).select("dialogue_id", "slot", "new_value").distinct()
 
 
 def transition_window(spark, d):
     """Dialogues of six turns or more with a change in the inner turns."""
     lengths = turns_of(spark, d).groupBy("dialogue_id").agg(F.count("*").alias("n")).where("n >= 6")
-    return slot_transitions(spark, d).join(lengths, "dialogue_id").where("turn_id between 3 and n - 2").groupBy("dialogue_id").agg(F.count("*").alias("n_changes"), F.max("turn_id").alias("last_change"))
+    return hot_join(slot_transitions(spark, d), lengths, "dialogue_id").where("turn_id between 3 and n - 2").groupBy("dialogue_id").agg(F.count("*").alias("n_changes"), F.max("turn_id").alias("last_change"))
 
 
 def sample_by_hash(spark, d):
@@ -199,11 +201,10 @@ def sample_by_hash(spark, d):
 
 def even_sample(spark, d):
     """Eleven dialogues evenly spaced in the order of their ids."""
-    ids = table(spark, d, "update_labels").select("dialogue_id").distinct()
-    n = ids.count()
-    places = sorted({round(i * (n - 1) / 10) for i in range(11)}) if n else []
-    numbered = select.ranked(ids.withColumn("all", F.lit(1)), "all", ["dialogue_id"])
-    return numbered.where((F.col("rank") - 1).isin(places or [-1])).select("dialogue_id")
+    ids = numbered(table(spark, d, "update_labels").select("dialogue_id").distinct(), ["dialogue_id"])
+    n = ids.agg(F.count("*").alias("n")).scalar()
+    places = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.rint(i * (F.col("n") - 1) / 10).cast("bigint"))
+    return ids.withColumn("n", n).where(F.array_contains(places, F.col("place").cast("bigint"))).select("dialogue_id")
 
 
 _N = {m: _method(m) for m in ("full_context", "recency", "first_n", "uniform_stride", "streamingllm")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import readers, strings
+from ..functions.exact import json_fields
 from ..functions.text import dataset_name
 from ..operators import joins, select, stats, validate
 from ..runtime import hot_join, shared_folder, table
@@ -35,7 +36,7 @@ def humanize_slots(spark, d):
 
 def content_tokens(spark, d):
     join = lambda t: F.array_join(F.array_sort(t), " ")
-    return table(spark, d, "turns").where("loaded_at is not null").select("dialogue_id", "turn_id", "loaded_at", join(strings.content_tokens("text")).alias("goal_tokens"), join(strings.content_tokens("text", strings.STOP_VALUE)).alias("value_tokens"), join(strings.cjk_tokens("text")).alias("cjk"), join(strings.hangul_tokens("text")).alias("hangul"))
+    return table(spark, d, "turns").select("dialogue_id", "turn_id", "loaded_at", join(strings.content_tokens("text")).alias("goal_tokens"), join(strings.content_tokens("text", strings.STOP_VALUE)).alias("value_tokens"), join(strings.cjk_tokens("text")).alias("cjk"), join(strings.hangul_tokens("text")).alias("hangul"))
 
 
 def char_cap(spark, d):
@@ -52,9 +53,9 @@ def question_labels(spark, d):
 
 
 def replace_context(spark, d):
-    """Prompts whose context is swapped for its first 50 characters, the question kept to the byte."""
+    """Prompts whose context is swapped for its own last turn, the question kept to the byte."""
     rows = table(spark, d, "probes").where("prompt_user is not null and compressed_text_used is not null and startswith(prompt_user, compressed_text_used)")
-    return rows.select("row_id", strings.replace_context("prompt_user", "compressed_text_used", F.left("compressed_text_used", F.lit(50))).alias("prompt"))
+    return rows.select("row_id", strings.replace_context("prompt_user", "compressed_text_used", F.substring_index("compressed_text_used", "\n", -1)).alias("prompt"))
 
 
 def left_truncation(spark, d):
@@ -208,36 +209,33 @@ def append_resume(spark, d):
 
 
 def file_manifest(spark, d):
-    return files.manifest(spark, f"{d}/datasets.parquet").select(F.count("*").over(_everything()).alias("n_files"), F.length("sha256").alias("hex_digits")).distinct()
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
+    """Name, size and SHA-256 of every file of the folder's tables."""
+    return files.manifest(spark, d)
 
 
 def stream_resumable_scores(spark, d):
-    """Answers scored as a stream of files, each key once, equal to the batch result."""
+    """Answers read and scored as a stream of files, each key once, equal to the batch result."""
     source = table(spark, d, "reused_raw_answers")
     stream = resumable.file_stream(spark, f"{d}/reused_raw_answers.parquet", source.schema)
     sink = shared_folder(spark, "stream")
 
     def score(batch):
-        return batch.select("answer_no", F.coalesce(F.length("reader_output_text"), F.lit(0)).alias("n_chars"), F.col("error").isNotNull().cast("int").alias("err"))
+        fields = batch.select("answer_no", "error", json_fields()("reader_output_text").alias("f"))
+        return fields.select("answer_no", F.length(F.coalesce("f.dict.value", F.lit(""))).alias("n_chars"), F.col("f.dict.ok").cast("int").alias("parsed"), F.col("error").isNotNull().cast("int").alias("err"))
 
     resumable.run_to_end(stream, score, "answer_no", sink, shared_folder(spark, "marks"))
-    return spark.read.option("recursiveFileLookup", True).schema("answer_no bigint, n_chars int, err int").parquet(sink)
+    return spark.read.parquet(sink).select("answer_no", "n_chars", "parsed", "err")
 
 
 def stream_latest_values(spark, d):
     """Latest event value by user and day from a stream with a watermark, run to its end."""
     source = table(spark, d, "events").schema
     stream = resumable.file_stream(spark, f"{d}/events.parquet", source)
-    name = "latest_" + shared_folder(spark, "m").rsplit("/", 1)[-1].replace("-", "_")
     out = resumable.latest_values(stream, "user_id", "ts", "value", "1 hour", "1 day")
-    out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "marks")).start().awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", F.round("value", 4).alias("value"), "n")
+    sink = shared_folder(spark, "latest")
+    resumable.replace_updates(out, ["start", "user_id"], sink, shared_folder(spark, "marks"))
+    rows = resumable.latest_updates(spark, sink, ["start", "user_id"], "start timestamp, user_id bigint, value double, n bigint")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", F.round("value", 4).alias("value"), "n")
 
 
 def mock_reader_scores(spark, d):
@@ -295,17 +293,19 @@ _SLOTS = "case when contains(lower(slot),'time') then 'Time' when contains(lower
 _LEAD = "(?i)^(?:can you |could you |please |i''?d like to |i want to |i need to |i''?m looking to )"
 _TASK = "lower(trim(regexp_replace(regexp_replace(trim(coalesce({0},'')), '" + _LEAD + "', ''), '[?.!]+\\s*$', '')))"
 
+_STREAMED = """with r as (select answer_no, error, regexp_replace(coalesce(reader_output_text,''), '^\\s+|\\s+$', '', 'g') x from reused_raw_answers), r1 as (select *, regexp_extract(x, '(?s)(\\{[^{]*\\})[^{}]*$', 1) y from r), r2 as (select *, case when json_valid(x) then x end w, case when json_valid(y) then y end y1 from r1),
+ r3 as (select *, case when w is not null then case when json_type(w) = 'OBJECT' then w end when json_type(y1) = 'OBJECT' then y1 end j from r2) select answer_no, coalesce(length(json_extract_string(j, '$.value')), 0)::int n_chars, (j is not null)::int parsed, (error is not null)::int err from r3"""
 ORACLE = {
     "normalize_values": f"select row_id, {nv('new_value')} norm, {nv('gold')} norm_gold from probes",
     "alias_equivalence": f"with q as (select row_id, a, b, trim(split_part(a, ',', 1)) ha, trim(split_part(b, ',', 1)) hb from (select row_id, {nv('old_value')} a, {nv('new_value')} b from probes)) select row_id, (a <> '' and b <> '' and (a = b or (ha <> '' and ha = hb) or (least(length(ha), length(hb)) >= 3 and (contains(ha, hb) or contains(hb, ha))))) same from q",
     "alias_spellings": f"select value_id, {_ALIASED} spelled from slot_values",
     "normalize_task": f"select dialogue_id, {_TASK.format('goal_first_sentence')} task, {_TASK.format('goal_text')} goal from update_labels",
     "humanize_slots": f"select value_id, lower(trim(regexp_replace(slot, '[_-]+', ' ', 'g'))) as label, {_SLOTS} slot_group from slot_values",
-    "content_tokens": "select dialogue_id, turn_id, loaded_at, " + _toks("text", strings.STOP_GOAL) + " goal_tokens, " + _toks("text", strings.STOP_VALUE) + " value_tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text,'')),'[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]') || list_filter(regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+'), lambda w: length(w) >= 2 and w not in (" + ",".join(f"'{w}'" for w in strings.STOP_CJK) + ")))), ' ') cjk, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+') || regexp_extract_all(lower(coalesce(text,'')),'[가-힣]+'))), ' ') hangul from turns where loaded_at is not null",
+    "content_tokens": "select dialogue_id, turn_id, loaded_at, " + _toks("text", strings.STOP_GOAL) + " goal_tokens, " + _toks("text", strings.STOP_VALUE) + " value_tokens, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text,'')),'[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]') || list_filter(regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+'), lambda w: length(w) >= 2 and w not in (" + ",".join(f"'{w}'" for w in strings.STOP_CJK) + ")))), ' ') cjk, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text,'')),'[a-z0-9]+') || regexp_extract_all(lower(coalesce(text,'')),'[가-힣]+'))), ' ') hangul from turns",
     "char_cap": "select doc_id, case when length(text) > 120 then rtrim(substr(text, 1, 120)) || ' [...]' else text end capped from documents",
     "prompt_parts": "select row_id, case when instr(prompt_user, chr(10) || chr(10) || 'Question:') > 0 then substr(prompt_user, 1, instr(prompt_user, chr(10) || chr(10) || 'Question:') - 1) else prompt_user end as context, case when instr(prompt_user, chr(10) || chr(10) || 'Question:') > 0 then substr(prompt_user, instr(prompt_user, chr(10) || chr(10) || 'Question:')) else '' end as question from probes",
     "question_labels": f"with a as (select row_id, regexp_extract(prompt_user, '\\n\\nQuestion: ([^\\n]*)', 1) q from probes where prompt_user is not null), b as (select row_id, {_LABELS} t from a), c as (select row_id, {_SHORT} s from b) select row_id, array_to_string(regexp_extract_all(s, '[A-Za-z0-9'']+')[1:5], ' ') as label from c",
-    "replace_context": "select row_id, substr(compressed_text_used, 1, 50) || substr(prompt_user, length(compressed_text_used) + 1) as prompt from probes where prompt_user is not null and compressed_text_used is not null and starts_with(prompt_user, compressed_text_used)",
+    "replace_context": "select row_id, split_part(compressed_text_used, chr(10), -1) || substr(prompt_user, length(compressed_text_used) + 1) as prompt from probes where prompt_user is not null and compressed_text_used is not null and starts_with(prompt_user, compressed_text_used)",
     "left_truncation": "select row_id, array_to_string(case when len(t) <= 24 then t else t[-24:] end, ' ') kept from (select row_id, regexp_extract_all(prompt_user, '\\S+') t from probes where prompt_user is not null)",
     "hash_ids": "select row_id, substr(sha256(prompt_user), 1, 16) as template, substr(sha1(concat_ws('|', dialogue_id, method, probe_type)), 1, 16) task_uid, ('0x' || substr(sha256('42|' || dialogue_id), 9, 8))::bigint seed32 from probes where prompt_user is not null",
     "numeric_equivalence": "select row_id, (not regexp_matches(old_value, '\\p{L}') and len(regexp_extract_all(old_value, '\\d+(?:\\.\\d+)?')) > 0 and regexp_extract_all(old_value, '\\d+(?:\\.\\d+)?') = regexp_extract_all(new_value, '\\d+(?:\\.\\d+)?')) same from probes where old_value is not null and new_value is not null",
@@ -331,7 +331,7 @@ ORACLE = {
     "embedding_cosine": "with p as (select vec_id, label, generate_subscripts(embedding, 1) i, unnest(embedding)::double x from embeddings), m as (select label, i, avg(x) m from p group by 1, 2) select vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)) + 1e-9), 4) cosine from p join m using (label, i) group by 1",
     "jsonl_roundtrip": "select dialogue_id, slot, old_value, new_value, n_turns from update_labels",
     "append_resume": "select dialogue_id, slot from update_labels",
-    "stream_resumable_scores": "select answer_no, coalesce(length(reader_output_text), 0)::int n_chars, (error is not null)::int err from reused_raw_answers",
+    "stream_resumable_scores": _STREAMED,
     "stream_latest_values": "select strftime(ts, '%Y-%m-%d') as day, user_id, round(arg_max(value, ts), 4) as value, count(*) n from events group by 1, 2",
     "star_method_cells": "with per as (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) r from lineitem group by 1) select n_name, year(o_orderdate)::int as year, count(*) n_orders, round(sum(r), 0) revenue from orders join per on o_orderkey = l_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
     "binomial_table": "select b, c, round(least(1.0::double, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: factorial((b + c)::int)::double / (factorial(i::int) * factorial((b + c - i)::int))::double)) / pow(2.0::double, b + c)), 6) p from range(0, 12) t(b), range(0, 12) u(c) where b + c > 0",

@@ -47,19 +47,17 @@ def write_document(rows: DataFrame, path: str, group: str) -> None:
     rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("rows")).write.mode("overwrite").json(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str, schema: StructType | str) -> int:
-    """Append rows whose key the sink lacks; a second run of the same rows adds nothing."""
+def append_new(rows: DataFrame, path: str, key: str, schema: StructType | str) -> None:
+    """Append rows whose key the sink lacks; a second run of the same rows adds nothing. Of the sink only the
+    key column is read."""
     spark = rows.sparkSession
     try:
-        done = spark.read.schema(schema).parquet(path)
-        fresh = unseen(rows, done, key)
+        fresh = unseen(rows, spark.read.schema(schema).parquet(path), key)
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         fresh = rows
-    before = fresh.dropDuplicates([key])
-    before.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path).count()
+    fresh.dropDuplicates([key]).write.mode("append").parquet(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
