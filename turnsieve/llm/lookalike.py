@@ -28,6 +28,8 @@ FIELDS = ("new_value", "old_value", "gold")
 _FROM = {
     "Cyrillic": dict(zip("АВСЕНІЈКМОРЅТХУаԁеһіјӏорԛсѕԝхуүгп", "ABCEHIJKMOPSTXYadehijlopqcswxyyrn")),
     "Greek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορυχϲϳ", "ABEZHIKMNOPTYXayikvopuxcj")),
+    "Armenian": dict(zip("ՕՍՏԼօսհոցյզ", "OUSLouhngjq")),
+    "Cherokee": dict(zip("ᎪᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴᎢᎥ", "AEWMHGZVSLCPKBTi")),
 }
 # Punctuation that looks like an ASCII sign.
 SIGNS = (
@@ -39,6 +41,14 @@ SIGNS = (
     | dict.fromkeys("⁄∕⧸", "/")
     | dict.fromkeys("․", ".")
 )
+#: Letters that are drawn as another letter's small capital or modified form, by their Unicode names.
+STYLED = {
+    chr(c): found[1].lower()
+    for c in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800))
+    if (found := re.fullmatch(r"LATIN (?:LETTER SMALL CAPITAL|SMALL LETTER SCRIPT|SMALL LETTER DOTLESS) ([A-Z])", unicodedata.name(chr(c), "")))
+}
+#: Alphabets for formulas: bold, slanted, script and double-struck letters and figures.
+FORMULA = range(0x1D400, 0x1D800)
 _SPACES = re.compile(r"[   -     　]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _KEEP = re.compile(r"^<(?:super|sub|fraction|circle|square|font|initial|medial|final|isolated)>")
@@ -54,6 +64,10 @@ def script(ch: str) -> str:
         return "Latin" if ch.isalpha() else "Common"
     if code < 0x400 or 0x1F00 <= code < 0x2000:
         return "Greek"
+    if 0x530 <= code < 0x590:
+        return "Armenian" if ch.isalpha() else "Common"
+    if 0x13A0 <= code < 0x1400:
+        return "Cherokee"
     if code < 0x530 or 0x1C80 <= code < 0x1C90:
         return "Cyrillic"
     if 0x1E00 <= code < 0x1F00:
@@ -90,6 +104,12 @@ def compatible(text: str) -> str:
         if ch in SIGNS:
             out.append(SIGNS[ch])
             continue
+        if ch in STYLED:
+            out.append(STYLED[ch])
+            continue
+        if ord(ch) in FORMULA:
+            out.append(unicodedata.normalize("NFKC", ch))
+            continue
         how = unicodedata.decomposition(ch)
         if not how or _KEEP.match(how) or not how.startswith("<"):
             out.append(unicodedata.normalize("NFC", ch) if how else ch)
@@ -156,7 +176,7 @@ def plain_bigrams(slot_values: DataFrame, labels: DataFrame) -> dict[str, int]:
     at most the square of the few hundred letters with look-alikes and their neighbours.
     """
     texts = slot_values.select(F.col("value_text").alias("t")).unionByName(slot_values.select(F.col("slot_human").alias("t"))).unionByName(labels.select(F.col("goal_text").alias("t"))).where("t is not null").distinct()
-    words = texts.select(F.explode(F.split("t", r"(?U)[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]+")).alias("w")).where("w <> ''").select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
+    words = texts.select(F.explode(F.split("t", r"(?U)[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}\p{IsCherokee}]+")).alias("w")).where("w <> ''").select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
     return {r[0]: r[1] for r in pairs.groupBy("pair").count().collect()}
 
