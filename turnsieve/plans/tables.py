@@ -244,7 +244,8 @@ def mock_reader_scores(spark, d):
     read = readers.answer(probes, "row_id", "prompt_user", "extractive")
     value = F.get_json_object("text", "$.value")
     rows = read.join(probes.select("row_id", "method", "gold"), "row_id")
-    return rows.groupBy("method").agg(F.count("*").alias("n"), F.count_if(F.col("text").contains('"abstain": true')).alias("n_abstain"), F.round(F.avg(F.coalesce(strings.values_match(value, "gold"), F.lit(False)).cast("int")), 4).alias("strict"))
+    judged = rows.select("method", F.col("text").contains('"abstain": true').alias("declared"), F.coalesce(strings.values_match(value, "gold"), F.lit(False)).cast("int").alias("ok"))
+    return judged.groupBy("method").agg(F.count("*").alias("n"), F.count_if("declared").alias("n_abstain"), F.round(F.avg("ok"), 4).alias("strict"))
 
 
 def star_method_cells(spark, d):
