@@ -65,15 +65,20 @@ HALF_DAY = {False: r"(?U)\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)\b", True: r"(?U)\b(\
 
 
 def half_day_times(x: Column | str, dotted: bool = False) -> Column:
-    """Twelve-hour times as HH:MM; what lies between them is joined to them again as it was."""
-    x, p = col(x), HALF_DAY[dotted]
-    parts = lambda i: F.regexp_extract_all(x, F.lit(p), i)
-    hours = F.transform(parts(1), lambda h: h.cast("int"))
-    late = F.transform(parts(3), lambda h: F.startswith(h, F.lit("p")))
-    shifted = F.zip_with(hours, late, lambda h, pm: F.when(pm & (h != 12), h + 12).when(~pm & (h == 12), 0).otherwise(h))
-    made = F.zip_with(shifted, parts(2), lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.when(m == "", "00").otherwise(m)))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(x, p, -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return F.when(F.regexp_like(x, F.lit(r"\d\s*[ap]\.?m")), joined).otherwise(x)
+    """Twelve-hour times as HH:MM; what lies between them is joined to them again as it was. The text is bound
+    once, so that what it is made from is not worked out again for every part."""
+    p = F.lit(HALF_DAY[dotted])
+
+    def rewritten(t: Column) -> Column:
+        parts = lambda i: F.regexp_extract_all(t, p, i)
+        hours = F.transform(parts(1), lambda h: h.cast("int"))
+        late = F.transform(parts(3), lambda h: F.startswith(h, F.lit("p")))
+        shifted = F.zip_with(hours, late, lambda h, pm: F.when(pm & (h != 12), h + 12).when(~pm & (h == 12), 0).otherwise(h))
+        made = F.zip_with(shifted, parts(2), lambda h, m: F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.when(m == "", "00").otherwise(m)))
+        joined = F.array_join(F.flatten(F.zip_with(F.split(t, HALF_DAY[dotted], -1), F.concat(made, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+        return F.when(F.regexp_like(t, F.lit(r"\d\s*[ap]\.?m")), joined).otherwise(t)
+
+    return F.transform(F.array(col(x)), rewritten)[0]
 
 
 def pad_times(x: Column | str, bare: bool = True) -> Column:

@@ -53,8 +53,8 @@ def retention_split(spark, d):
 def either_bounded(spark, d):
     """Old and new values of which one holds the other at word bounds."""
     rows = table(spark, d, "probes").where("old_value is not null and new_value is not null")
-    a, b = normalize_value("old_value"), normalize_value("new_value")
-    return rows.select("row_id", (occurs_bounded(a, b) | occurs_bounded(b, a)).alias("holds"))
+    rows = rows.select("row_id", normalize_value("old_value").alias("a"), normalize_value("new_value").alias("b"))
+    return rows.select("row_id", (occurs_bounded("a", "b") | occurs_bounded("b", "a")).alias("holds"))
 
 
 def gold_leaks(spark, d):

@@ -122,21 +122,21 @@ def evidence_turns(spark, d):
     """Turns that hold the new value at word bounds, with the origin: dialogue_id, turn_id, is_evidence."""
     labels = table(spark, d, "update_labels").groupBy("dialogue_id").agg(F.min_by(F.struct("new_value", "origin_turn_id"), F.struct("slot", "new_value")).alias("l"))
     rows = hot_join(turns_of(spark, d).select("dialogue_id", "turn_id", "text"), labels, "dialogue_id").where("l is not null")
-    hit = occurs_bounded(normalize_value("l.new_value"), normalize_value("text"))
-    return rows.select("dialogue_id", "turn_id", hit.alias("is_evidence"), (F.col("turn_id") == F.col("l.origin_turn_id")).alias("is_origin")).where("is_evidence or is_origin")
+    rows = rows.select("dialogue_id", "turn_id", normalize_value("l.new_value").alias("a"), normalize_value("text").alias("h"), (F.col("turn_id") == F.col("l.origin_turn_id")).alias("is_origin"))
+    return rows.select("dialogue_id", "turn_id", occurs_bounded("a", "h").alias("is_evidence"), "is_origin").where("is_evidence or is_origin")
 
 
 def value_retention(spark, d):
     """Share of probes whose context still holds the new value, by dataset and method."""
     probes = table(spark, d, "probes").where("new_value is not null and compressed_text_used is not null")
-    kept = occurs_bounded(normalize_value("new_value"), normalize_value("compressed_text_used")).cast("int")
-    return probes.select(dataset_name("dataset").alias("dataset"), "method", kept.alias("kept")).groupBy("dataset", "method").agg(F.count("*").alias("n"), F.sum("kept").alias("n_kept"), F.round(F.avg("kept"), 6).alias("retention"))
+    probes = probes.select(dataset_name("dataset").alias("dataset"), "method", normalize_value("new_value").alias("a"), normalize_value("compressed_text_used").alias("h"))
+    return probes.select("dataset", "method", occurs_bounded("a", "h").cast("int").alias("kept")).groupBy("dataset", "method").agg(F.count("*").alias("n"), F.sum("kept").alias("n_kept"), F.round(F.avg("kept"), 6).alias("retention"))
 
 
 def retention_by_group(spark, d):
     probes = table(spark, d, "probes").where("new_value is not null and compressed_text_used is not null and slot_human is not null")
-    kept = occurs_bounded(normalize_value("new_value"), normalize_value("compressed_text_used")).cast("int")
-    return probes.select(slot_group("slot_human").alias("slot_group"), F.col("meta.sample_seed").alias("seed"), kept.alias("kept")).groupBy("slot_group", "seed").agg(F.count("*").alias("n"), F.round(F.avg("kept"), 6).alias("retention"))
+    probes = probes.select(slot_group("slot_human").alias("slot_group"), F.col("meta.sample_seed").alias("seed"), normalize_value("new_value").alias("a"), normalize_value("compressed_text_used").alias("h"))
+    return probes.select("slot_group", "seed", occurs_bounded("a", "h").cast("int").alias("kept")).groupBy("slot_group", "seed").agg(F.count("*").alias("n"), F.round(F.avg("kept"), 6).alias("retention"))
 
 
 def boundary_support_recall(spark, d):
