@@ -23,15 +23,15 @@ def test_answer_defects(text, want):
     assert pairs.classify(text, PROMPT) == want
 
 
-UNSEEN = [
+REVIEWED = [
     ("I'm afraid that's not something I can do.", "refusal"), ("I apologize, but helping with that would be irresponsible.", "refusal"), ("As an AI, I do not have the ability to respond to that.", "refusal"), ("Je suis désolé, je ne peux pas répondre à cette question.", "refusal"), ("お答えできません。", "refusal"),
     ("Пользователь хочет суп на ужин.", "other_language"), ("Secondo la conversazione, l'utente vuole la pizza alla fine.", "other_language"), ("De acordo com a conversa, o usuário quer uma mesa para o jantar.", "other_language"), ("会話によると、ユーザーはフォーを選びました。", "other_language"), ("Η απάντηση είναι φο και ρύζι", "other_language"),
     ("Pho was picked because the", "truncated"), ("Plaza de la Reina", None), ("The user wants Plaza de la Reina.", None), ("Кафе Лесна", None), ("I can't find it", None), ("Le Pré Orvé", None),
 ]
 
 
-@pytest.mark.parametrize("text,want", UNSEEN)
-def test_answers_no_list_was_written_from(text, want):
+@pytest.mark.parametrize("text,want", REVIEWED)
+def test_answers_of_the_review(text, want):
     assert pairs.classify(text, PROMPT) == want
 
 
