@@ -4,6 +4,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from turnsieve.llm import automata, bpe, cuts, lookalike, packing, pairs, personal, tokens
 
 PROMPT = "[T0] USER: Hello, I want to book a table, with food pho if that works.\n[T1] SYSTEM: Done, the food is set to pho.\n\nQuestion: Which food holds at the end?\nReply with one JSON object holding value, support and abstain."
@@ -72,6 +73,21 @@ def test_pairs_on_tables(spark):
     assert sum(r["n_answers"] for r in pairs.defect_report(answers, probes).collect()) == len(ANSWERS)
 
 
+def test_every_source_has_its_own_baseline(spark):
+    # 1,000 larger sources without terminators do not speak for the last two, one of them null
+    text = lambda ended: f"'The table is for four people{'.' if ended else ''}'"
+    loose = spark.range(31_000).selectExpr("id as answer_no", f"{text(False)} as reader_output_text", "concat('s', id % 1000) as source")
+    strict = spark.range(31_000, 31_060).selectExpr("id as answer_no", f"if(id < 31002, {text(False)}, {text(True)}) as reader_output_text", "if(id % 2 = 0, 'z', null) as source")
+    few = spark.range(31_060, 31_062).selectExpr("id as answer_no", f"{text(False)} as reader_output_text", "'few' as source")
+    answers = loose.union(strict).union(few).withColumn("id", F.lit(None).cast("string"))
+    probes = spark.createDataFrame([], PROBES)
+    own, rest = pairs.sentence_ends(answers)
+    assert own.groupBy("strict").count().orderBy("strict").collect() == [(False, 1000), (True, 2)] and rest.first()["strict"] is False
+    assert sorted(pairs.broken_pairs(answers, probes).collect()) == [(31_000, "truncated"), (31_001, "truncated")]
+    turns = spark.createDataFrame([], "dialogue_id string, turn_id int, text string, loaded_at timestamp")
+    assert {r["row_key"] for r in cuts.truncated_records(probes, turns, answers).collect()} == {31_000, 31_001}
+
+
 WHOLE = "Sure, that works. See you at 10:30."
 
 
@@ -104,6 +120,16 @@ def test_cuts_on_tables(spark):
     assert cuts.cut_contexts(probes.limit(0), turns.limit(0)).count() == 0
 
 
+def test_every_dataset_has_its_own_baseline(spark):
+    # 1,000 larger datasets whose turns have no terminators do not speak for the last one
+    loose = spark.range(31_000).selectExpr("concat('k', id % 1000, '-', id) as dialogue_id", "0 as turn_id", "'no end' as text")
+    strict = spark.range(30).selectExpr("concat('z-', id) as dialogue_id", "0 as turn_id", "'An end.' as text")
+    turns = loose.union(strict).withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    probes = turns.groupBy(F.substring_index("dialogue_id", "-", 1).alias("of")).agg(F.min("dialogue_id").alias("dialogue_id"))
+    probes = probes.select(F.xxhash64("of").alias("row_id"), "dialogue_id", F.col("of").alias("dataset"), F.lit("[T9] USER: unknown").alias("compressed_text_used"))
+    assert [r["dataset"] for r in cuts.cut_contexts(probes, turns).where("is_cut").collect()] == ["z"]
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe.encoder()

@@ -28,8 +28,8 @@ from .pairs import judge_answers
 
 _BLANK_END = re.compile(rf"[\s{INVISIBLE}]+$")
 #: Least share of the missing terminators of a dataset's contexts that cuts must explain; turns a
-#: dataset needs, and number of datasets, the largest, that have a baseline of their own (all others share one).
-EXCESS, LEAST_TURNS, OWN_BASELINE = 0.5, 30, 1000
+#: dataset needs for a baseline of its own (below, that of all datasets holds).
+EXCESS, LEAST_TURNS = 0.5, 30
 #: A rendered turn starts with its number and role; the tag is complete with the blank behind it.
 TAG = r"\[T(\d+)\] (USER|SYSTEM):"
 #: Proper beginnings of a tag, and marks of omission behind them.
@@ -122,10 +122,9 @@ def cut_contexts(probes: DataFrame, turns: DataFrame) -> DataFrame:
     """Every non-empty context: row_id, dataset, is_cut; what structure leaves open by its dataset's baseline."""
     rates = missing_ends(probes, turns)
     telling = lambda n, bare, all_turns, unended: F.coalesce(bare * all_turns * (1 - EXCESS) >= unended * n, F.lit(False)) & (bare > 0)
-    own = rates.where(F.col("turns") >= LEAST_TURNS).orderBy(F.col("turns").desc(), "of").limit(OWN_BASELINE)
-    own = own.select(F.col("of").alias("_of"), telling(*map(F.col, ("n", "bare", "turns", "open"))).alias("strict"))
+    own = rates.where(F.col("turns") >= LEAST_TURNS).select(F.col("of").alias("_of"), telling(*map(F.col, ("n", "bare", "turns", "open"))).alias("strict"))
     rest = rates.agg(F.coalesce(telling(*map(F.sum, ("n", "bare", "turns", "open"))), F.lit(False)).alias("strict"))
-    rows = judge_contexts(probes, turns).join(F.broadcast(own), F.col("of") == F.col("_of"), "left")
+    rows = judge_contexts(probes, turns).join(own, F.col("of") == F.col("_of"), "left")
     return rows.select("row_id", "dataset", F.coalesce("is_cut", "strict", rest.scalar()).alias("is_cut"))
 
 

@@ -23,6 +23,8 @@ from .automata import INVISIBLE, OMISSION, REPLACEMENT, TERMINATORS, SuffixAutom
 from .votes import DANGLING, FINITE, declines, language, other_language
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "other_language")
+#: Mark of a sentence that lacks only its terminator, until the baseline of its source decides.
+UNENDED = "unended"
 
 # Openings of answer sentences; an answer that opens so and has no end was cut.
 OPENINGS = (
@@ -38,9 +40,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 #: Share of an answer that must be covered by the question's text, and share of the question in it.
 COPIED, OF_QUESTION, LEAST_MATCH = 0.9, 0.6, 4
 #: Words of a sentence; share of a source's sentences that must have a terminator for a missing one to
-#: tell anything; sentences a source needs, and number of sources, the largest, that have a baseline of
-#: their own (all others share one).
-LEAST_SENTENCE, BASELINE, LEAST_SENTENCES, OWN_BASELINE = 4, 0.8, 30, 1000
+#: tell anything; sentences a source needs for a baseline of its own (below, that of all sources holds).
+LEAST_SENTENCE, BASELINE, LEAST_SENTENCES = 4, 0.8, 30
 
 
 class Question:
@@ -89,11 +90,11 @@ def in_other_language(text: str, context: str, q: Question) -> bool:
     return other_language(text, context, q.lang)
 
 
-def unfinished(text: str, context: str, strict: bool = False) -> bool:
+def unfinished(text: str, context: str) -> bool | None:
     """A prose answer that stops before its end; a bare value is complete as it is.
 
-    `strict` says that answers of this source end in a terminator where they are sentences, so that a
-    sentence without one was cut.
+    None for a sentence that lacks only its terminator: it was cut if answers of its source end in one
+    where they are sentences.
     """
     shown = visible(text)
     if shown.endswith(REPLACEMENT):
@@ -111,7 +112,9 @@ def unfinished(text: str, context: str, strict: bool = False) -> bool:
     words = parts[-1].lower().split()
     if len(words) < 3 or ";" in shown or shown in context:
         return False
-    return words[-1] in DANGLING or strict and len(words) >= LEAST_SENTENCE and not FINITE.isdisjoint(words)
+    if words[-1] in DANGLING:
+        return True
+    return None if len(words) >= LEAST_SENTENCE and not FINITE.isdisjoint(words) else False
 
 
 def _opens(text: str) -> bool:
@@ -142,8 +145,9 @@ def _shell(text: str) -> bool:
     return _SHELL.sub("", re.sub(r"```\w*", "", text)).lower() in ("", "null", "none", "nil", "undefined", "nan")
 
 
-def classify(text: str | None, prompt: str | None, strict: bool = False) -> str | None:
-    """Defect of one answer, or None; `strict` as in `unfinished`."""
+def classify(text: str | None, prompt: str | None, strict: bool | None = False) -> str | None:
+    """Defect of one answer, or None. `strict` says that a sentence without a terminator was cut; if it is
+    None, such a sentence is UNENDED."""
     if text is None or not visible(text):
         return "empty"
     shown = visible(text)
@@ -193,14 +197,17 @@ def is_answer(shown: str) -> bool:
     return not _shell(shown)
 
 
-def _judge_prose(shown: str, context: str, q: Question, strict: bool) -> str | None:
+def _judge_prose(shown: str, context: str, q: Question, strict: bool | None) -> str | None:
     if is_copied(shown, q):
         return "copied_question"
     if is_refusal(shown, context):
         return "refusal"
     if in_other_language(shown, context, q):
         return "other_language"
-    return "truncated" if unfinished(shown, context, strict) else None
+    cut = unfinished(shown, context)
+    if cut is None and strict is None:
+        return UNENDED
+    return "truncated" if cut or cut is None and strict else None
 
 
 def prompts_by_request(probes: DataFrame) -> DataFrame:
@@ -214,8 +221,8 @@ def prompts_by_request(probes: DataFrame) -> DataFrame:
 
 
 def sentence_ends(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How answers of a source end where they are sentences: (source, strict) of the OWN_BASELINE
-    largest sources with enough sentences, and one row for all other sources.
+    """How answers of a source end where they are sentences: (source, strict) of every source with
+    enough sentences, and one row over all sources for those with fewer.
 
     `strict` holds where at least BASELINE of the sentences end in a terminator. Counted in the JVM in
     one pass over the texts.
@@ -225,23 +232,28 @@ def sentence_ends(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     sentence = ~text.contains("{") & F.regexp_like(text, F.lit(rf"(?U)(?:^|\s)(?:{words})(?:\s|$)")) & (F.size(F.split(F.trim(text), " ")) >= LEAST_SENTENCE)
     ended = F.regexp_like(text, F.lit(rf"[{re.escape(TERMINATORS)}][\"'”’」』)）\]】]?\s*$"))
     per = answers.groupBy("source").agg(F.count_if(sentence).alias("n"), F.count_if(sentence & ended).alias("ended"))
-    own = per.where(F.col("n") >= LEAST_SENTENCES).orderBy(F.col("n").desc(), "source").limit(OWN_BASELINE).select("source", (F.col("ended") >= BASELINE * F.col("n")).alias("strict"))
+    own = per.where(F.col("n") >= LEAST_SENTENCES).select("source", (F.col("ended") >= BASELINE * F.col("n")).alias("strict"))
     return own, per.agg(F.coalesce(F.sum("ended") >= BASELINE * F.sum("n"), F.lit(False)).alias("strict"))
 
 
 def judge_answers(answers: DataFrame, probes: DataFrame) -> DataFrame:
-    """Every answer with its defect or null: answer_no bigint, source string, defect string."""
+    """Every answer with its defect or null: answer_no bigint, source string, defect string.
+
+    The baselines are joined after the texts are judged, when none moves on, so that there may be any
+    number of sources.
+    """
     own, rest = sentence_ends(answers)
     rows = answers.select("answer_no", "id", "source", F.col("reader_output_text").alias("text"))
     joined = hot_join(rows, prompts_by_request(probes), "id")
-    marked = joined.join(F.broadcast(own.withColumnRenamed("source", "_of")), F.col("source").eqNullSafe(F.col("_of")), "left")
-    ready = marked.select("answer_no", "source", "text", "prompt", F.coalesce("strict", rest.scalar()).alias("strict"))
 
     def judge(cols: list[list]) -> list[list]:
-        nos, sources, *given = cols
-        return [nos, sources, [classify(*x) for x in zip(*given)]]
+        nos, sources, texts, prompts = cols
+        return [nos, sources, [classify(t, p, None) for t, p in zip(texts, prompts)]]
 
-    return map_rows(ready, judge, "answer_no bigint, source string, defect string")
+    judged = map_rows(joined.select("answer_no", "source", "text", "prompt"), judge, "answer_no bigint, source string, defect string")
+    marked = judged.join(own.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left")
+    defect, strict = F.col("defect"), F.coalesce("strict", rest.scalar())
+    return marked.select("answer_no", "source", F.when(defect != UNENDED, defect).when((defect == UNENDED) & strict, "truncated").alias("defect"))
 
 
 def broken_pairs(answers: DataFrame, probes: DataFrame) -> DataFrame:
